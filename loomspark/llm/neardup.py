@@ -6,11 +6,11 @@ threshold with a probability of 1e-6 (24 for 0.85, 35 for 0.8). Documents of the
 
 A bucket may hold a third of all documents, so its pairs are never listed. Links are found in three passes,
 each verified on full sets:
-1. every member against the bucket's smallest document, which keeps the exact similarity to it;
+1. every member against the bucket's smallest document;
 2. members outside their bucket's main component against some of that component's documents;
-3. what is then still outside against every member of another component, save pairs that cannot be links:
-   sizes too far apart, or (triangle inequality of the Jaccard distance) distances to the bucket's
-   smallest document too far apart.
+3. what is then still outside against every member of another component that prefix filtering leaves: with the
+   shingles of each set in order of rarity, a pair whose first common shingle comes too late in either set
+   cannot reach the threshold. The filter is exact, and a copy with many words of its own passes with none.
 So no pair that shares a bucket is left undecided: it is verified, refuted, or joined through others.
 
 Defined results: null, empty or wordless text has an empty set, is linked with nothing and kept; rows that
@@ -109,6 +109,22 @@ def _sets(k: int):
     return run
 
 
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (band, doc, component, main), one of them outside its bucket's main component, that may be links across components."""
+    docs = members.groupBy("doc").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outside"))
+    items = sets.withColumnRenamed("doc_id", "doc").join(docs, "doc").select("doc", "component", "outside", F.size("items").alias("n"), F.explode("items").alias("item"))
+    rarity = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    ordered = items.join(rarity, "item").groupBy("doc").agg(F.first("component").alias("component"), F.first("outside").alias("outside"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
+    # A link shares at least percent of either set, so it shares one of the first shingles.
+    first = F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("int"))
+    prefix = ordered.withColumn("o", first).select("doc", "component", "outside", "n", F.posexplode("o").alias("at", "e")).select("doc", "component", "outside", "n", "at", F.col("e.item").alias("item"))
+    x = prefix.where("outside").select("item", *[F.col(c).alias(f"x_{c}") for c in ("doc", "component", "n", "at")])
+    y = prefix.select("item", *[F.col(c).alias(f"y_{c}") for c in ("doc", "component", "outside", "n", "at")])
+    common = 1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
+    may = (F.col("x_component") != F.col("y_component")) & (~F.col("y_outside") | (F.col("x_doc") < F.col("y_doc"))) & ((100 + percent) * common >= percent * (F.col("x_n") + F.col("y_n")))
+    return x.join(y, "item").where(may).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, bands: int | None = None, rows: int = ROWS, hubs: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text)."""
     percent, bands = round(100 * similarity), bands or bands_for(similarity, rows)
@@ -146,20 +162,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, b
             chosen = open_.where("component = main").groupBy("band").agg(*picks).select("band", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(hubs)]))).alias("other"))
             pairs = outside.join(chosen, "band").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
         else:
-            near = first.select(F.col("a").alias("hub"), F.col("b").alias("doc"), (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
-            far = open_.join(near, ["hub", "doc"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-            x = far.where("component <> main").select("band", *[F.col(c).alias(f"x_{c}") for c in ("doc", "component", "main", "n_shingles", "d")])
-            y = far.select("band", *[F.col(c).alias(f"y_{c}") for c in ("doc", "component", "n_shingles", "d")])
-            slack = 1 - percent / 100 + 1e-9
-            may = (
-                (F.col("x_component") != F.col("y_component"))
-                & ((F.col("y_component") == F.col("x_main")) | (F.col("x_doc") < F.col("y_doc")))
-                & (100 * F.least("x_n_shingles", "y_n_shingles") >= percent * F.greatest("x_n_shingles", "y_n_shingles"))
-                & (F.abs(F.col("x_d") - F.col("y_d")) <= slack)
-            )
-            pairs = x.join(y, "band").where(may).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
-            known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
+            pairs = _prefix_pairs(open_, sets, percent)
         links = materialise(links.unionByName(verified(pairs, stage).where(linked).select("a", "b")), "links")
     final = connected_components(links).select(F.col("node").alias("rep"), "component")
     named = reps.select(*same, "rep").join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
