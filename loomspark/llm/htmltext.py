@@ -3,7 +3,8 @@
 A page is read in one linear scan as a sequence of words and tags. Words weigh by the element they stand in (its name
 and class, as seen from the innermost structural element), tags weigh negative by name; both weights are log odds from
 labelled pages, in which the author's own article or main element marks the content. The contiguous region of the largest sum
-is the content; blocks of it whose element weighs negative (a notice or advert inside an article) are left out.
+is the content; blocks of it whose element weighs negative (a notice or advert inside an article) are left out. Such elements
+inside the marked content weigh little, so that a notice does not cut an article in two.
 
 The weights come from a bounded sample of labelled pages (`sample`, those of the lowest hash of page_id); they
 are sums of counts by element, of which the `MOST` commonest are kept. Every page is then read whole.
@@ -51,9 +52,13 @@ class Page:
         at, n, block, label = 0, len(source), 0, 0
         view, boiler = "", False
 
+        def mark() -> str:
+            """! for what stands in a boilerplate element, ~ if that stands inside the marked content itself."""
+            return "" if not boiler else "~" if label > 0 else "!"
+
         def text(part: str) -> None:
             if part and not part.isspace():
-                self.tokens.append(("w", ("!" if boiler else "") + view, block, entities.unescape(part)))
+                self.tokens.append(("w", mark() + view, block, entities.unescape(part)))
                 self.labelled.append(label > 0 and not boiler)
             elif part:
                 self.tokens.append(("w", "", block, " "))
@@ -88,7 +93,7 @@ class Page:
             at = m.end()
             if name in _BLOCK:
                 block += 1
-            self.tokens.append(("t", name, block, ""))
+            self.tokens.append(("t", mark() + name, block, ""))
             self.labelled.append(label > 0)
             if closing:
                 if any(s[0] == name for s in stack):
@@ -143,12 +148,14 @@ class Weights:
                 self.tag[key[1:]] = max(-1.0, min(-0.02, (odds - 4) / 8))
 
     def of_word(self, element: str) -> float:
+        if element.startswith("~"):
+            return -0.2
         if element.startswith("!"):
             return min(-1.0, self.word.get(element, -1.0))
         return self.word.get(element, 0.6)
 
     def of_tag(self, name: str) -> float:
-        return self.tag.get(name, -0.3)
+        return -0.05 if name.startswith("~") else self.tag.get(name, -0.3)
 
 
 def extract(source: str | None, weights: Weights) -> str:

@@ -15,6 +15,7 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -247,9 +248,21 @@ def fitted(seed: int = 5, sentences: int = 600, rounds: int = 4) -> Field:
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
     """Spans that the field finds and that overlap no base span."""
     out, stop = [], 0
-    taken = sorted((a, b) for _, a, b in base)
+    # Base spans of different kinds may overlap; their union is what is taken.
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def taken(a: int, b: int) -> bool:
+        i = bisect.bisect_left(starts, b) - 1
+        return i >= 0 and ends[i] > a
+
     for seed in _SEED.finditer(text):
-        if seed.start() < stop or any(a <= seed.start() < b for a, b in taken):
+        if seed.start() < stop or taken(seed.start(), seed.start() + 1):
             continue
         # Three words to either side, but no word of more than 200 characters.
         lo = max(stop, seed.start() - 200)
@@ -259,7 +272,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
         end = next((k for k, s in enumerate(tokens) if s[0] >= seed.end()), len(tokens))
         tokens = tokens[: end + 3]
         found = field.decode(text, tokens)
-        out += [s for s in found if not any(a < s[2] and s[1] < b for a, b in taken)]
+        out += [s for s in found if not taken(s[1], s[2])]
         stop = max([seed.end(), *(s[2] for s in found)])
     return list(dict.fromkeys(out))
 

@@ -12,6 +12,7 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -193,12 +194,21 @@ def find(text: str | None, grammar: Grammar) -> tuple[list[tuple[str, int, int]]
     if not text:
         return [], []
     base, more = base_spans(text), []
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        starts.append(a)
+        ends.append(max(b, ends[-1] if ends else b))
+
+    def taken(a: int, b: int) -> bool:
+        i = bisect.bisect_left(starts, b) - 1
+        return i >= 0 and ends[i] > a
+
     for m in _CANDIDATE.finditer(text):
         a, b = m.start(), m.end()
         while b > a and text[b - 1] in ".-=":
             b -= 1
         token = text[a:b]
-        if b - a >= 20 and any("0" <= c <= "9" for c in token) and not token.isdigit() and not any(s[1] < b and a < s[2] for s in base) and grammar.score(token) >= grammar.limit:
+        if b - a >= 20 and any("0" <= c <= "9" for c in token) and not token.isdigit() and not taken(a, b) and grammar.score(token) >= grammar.limit:
             more.append(("grammar", a, b))
     return base, more
 
