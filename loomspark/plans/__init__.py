@@ -1,4 +1,6 @@
 """Registered queries of the library and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import decisions, evaluation, graph, retrieval, security, stores, text, tree  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
