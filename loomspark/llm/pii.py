@@ -3,8 +3,8 @@
 Four base patterns (email, ip, card, phone) are found exactly as stated, in time linear in the text. Around anything that
 looks like part of an entity the field then scores whole spans of one to `LONGEST` tokens by features of the span
 and its neighbours, and bounded-entity dynamic programming picks boundaries and kinds together. It adds
-spans that the patterns do not state, such as national telephone numbers after a cue or masked addresses; base
-spans always stay, and an added span never overlaps one.
+spans that the patterns do not state, such as national telephone numbers after a cue, masked addresses, or a telephone and a card number
+that stand side by side and that a pattern took for one too long match; base spans always stay, and an added span never overlaps one.
 
 The field is fitted here, by gradient ascent on the likelihood of generated sentences with known spans, among them many
 numbers that are no personal data. A fit is a pure function of its seed.
@@ -21,7 +21,7 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +84,7 @@ _CUES = {
 }
 _AT = re.compile(r"(?i)^[a-z0-9._%+-]+ ?(?:@|[(\[{<] ?at ?[)\]}>]) ?[a-z0-9-]+(?: ?(?:\.|[(\[{<] ?dot ?[)\]}>]) ?[a-z0-9-]+)+$")
 _NATIONAL = re.compile(r"^(?:\(0?[0-9]{2,5}\)[ -]?|0[0-9]{1,4}[ /-])?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}$")
+_INTERNATIONAL = re.compile(r"^\+[0-9][\x20().0-9-]+[0-9]$")
 _TRIM = " .,;:!?\"'"
 
 
@@ -95,11 +96,13 @@ def span_features(text: str, before: str) -> list[str]:
     if d and not any(c.isalpha() for c in text):
         if _NATIONAL.match(text) and 9 <= len(d) <= 12 and (" " in text or "-" in text or "(" in text or "/" in text or "." in text):
             out.append("national")
+        if _INTERNATIONAL.match(text) and 9 <= len(d) <= 15:
+            out.append("international")
         out.append("luhn" if 13 <= len(d) <= 19 and luhn(d) else "no-luhn")
         parts = text.split(".")
         out.append("quad" if len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts) else "no-quad")
     out += [f"cue-{k}" for k, words in _CUES.items() if cue in words] or ["no-cue"]
-    out += [f"{a}&{b}" for a in out if a in ("national", "at", "luhn", "quad") for b in out if b.startswith(("cue", "no-cue"))]
+    out += [f"{a}&{b}" for a in out if a in ("national", "international", "at", "luhn", "quad") for b in out if b.startswith(("cue", "no-cue"))]
     return out
 
 
@@ -114,8 +117,8 @@ class Field:
         return w.get((kind, "bias"), 0.0) + sum(w.get((kind, f), 0.0) for f in features)
 
     @staticmethod
-    def spans(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int, int, list[str]]]]:
-        """For each end j the candidate spans: first token, start, end, features. Words without a digit or sign start none."""
+    def spans(text: str, tokens: list[tuple[int, int]], taken: Callable[[int, int], bool] = lambda a, b: False) -> list[list[tuple[int, int, int, list[str]]]]:
+        """For each end j the candidate spans: first token, start, end, features. Words without a digit or sign make none, nor does what is taken."""
         out: list[list[tuple[int, int, int, list[str]]]] = [[] for _ in range(len(tokens) + 1)]
         for j in range(1, len(tokens) + 1):
             for i in range(max(0, j - LONGEST), j):
@@ -125,16 +128,16 @@ class Field:
                 while b > a and text[b - 1] in _TRIM:
                     b -= 1
                 part = text[a:b]
-                if b > a and b - a <= 120 and (_DIGIT.search(part) or "@" in part or _AT.match(part)):
+                if b > a and b - a <= 120 and not taken(a, b) and (_DIGIT.search(part) or "@" in part or _AT.match(part)):
                     before = text[tokens[i - 1][0] : tokens[i - 1][1]] if i else ""
                     out[j].append((i, a, b, span_features(" ".join(part.split()), before)))
         return out
 
-    def decode(self, text: str, tokens: list[tuple[int, int]], margin: float = 1.0) -> list[tuple[str, int, int]]:
-        """The best segmentation; spans that gain less than margin over no entity are left out."""
+    def decode(self, text: str, tokens: list[tuple[int, int]], taken: Callable[[int, int], bool] = lambda a, b: False, margin: float = 1.0) -> list[tuple[str, int, int]]:
+        """The best segmentation around what is taken; spans that gain less than margin over no entity are left out."""
         best: list[float] = [0.0] * (len(tokens) + 1)
         back: list[tuple | None] = [None] * (len(tokens) + 1)
-        for j, spans in enumerate(self.spans(text, tokens)):
+        for j, spans in enumerate(self.spans(text, tokens, taken)):
             if not j:
                 continue
             best[j] = best[j - 1]
@@ -206,7 +209,7 @@ def _sentence(r: random.Random) -> tuple[str, set[tuple[str, int, int]]]:
         d += next(c for c in "0123456789" if luhn(d + c))
         add(d if r.random() < 0.5 else " ".join(d[i : i + 4] for i in range(0, 16, 4)), "card")
     elif pick == 4:
-        add(f"+{r.randint(1, 49)} {num(3)} {num(3)} {num(4)}", "phone")
+        add(r.choice([f"+{r.randint(1, 49)} {num(3)} {num(3)} {num(4)}", f"+{r.randint(1, 49)} ({num(3)}) {num(3)}-{num(4)}", f"+{r.randint(1, 49)}{num(9)}", f"+{r.randint(1, 49)}-{num(3)}-{num(7)}"]), "phone")
     elif pick in (5, 6):
         add(r.choice(sorted(_CUES["phone"])) + r.choice(["", ":"]))
         add(r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)}/{num(7)}"]), "phone")
@@ -261,8 +264,12 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
         i = bisect.bisect_left(starts, b) - 1
         return i >= 0 and ends[i] > a
 
+    def covered(a: int, b: int) -> bool:
+        i = bisect.bisect_right(starts, a) - 1
+        return i >= 0 and ends[i] >= b
+
     for seed in _SEED.finditer(text):
-        if seed.start() < stop or taken(seed.start(), seed.start() + 1):
+        if seed.start() < stop or covered(*seed.span()):
             continue
         # Three words to either side, but no word of more than 200 characters.
         lo = max(stop, seed.start() - 200)
@@ -271,8 +278,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
         tokens = [m.span() for m in _TOKEN.finditer(text, left[0][0] if left else seed.start(), hi)]
         end = next((k for k, s in enumerate(tokens) if s[0] >= seed.end()), len(tokens))
         tokens = tokens[: end + 3]
-        found = field.decode(text, tokens)
-        out += [s for s in found if not taken(s[1], s[2])]
+        found = field.decode(text, tokens, taken)
+        out += found
         stop = max([seed.end(), *(s[2] for s in found)])
     return list(dict.fromkeys(out))
 

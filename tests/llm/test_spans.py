@@ -42,6 +42,8 @@ def test_added_personal_data():
     added = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, field)[1]]
     assert added("please call 555-123-4567 today") == [("phone", "555-123-4567")]
     assert added("write to jane.doe (at) example (dot) com please") == [("email", "jane.doe (at) example (dot) com")]
+    assert added("x +1 (269) 555-3296 4524132264652876 y") == [("phone", "+1 (269) 555-3296"), ("card", "4524132264652876")]  # neither pattern matches: each runs on into the other
+    assert added("x 27.204.213.132 4116106959541135\ny") == [("card", "4116106959541135")]
     for clean in ("on 2024-05-06 we met", "the total was 1,234.50 euro", "see pages 12 to 19 of 300", "version 10.4.2 came out", "ISBN 978-3-1614-8410-0"):
         assert added(clean) == []
 
