@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from .joins import meet, small
+from .joins import meet
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows (query, term) that a batch of queries may have to be broadcast; larger batches are joined by shuffles.
+QUERY_TERMS = 100_000
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "doc_id") -> DataFrame:
@@ -39,9 +41,9 @@ def lengths(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce(T.token_count(F.col("text")), F.lit(0)).alias("len"))
 
 
-def term_weights(posted: DataFrame, documents: int) -> DataFrame:
-    """term, idf. A negative idf becomes EPSILON times the mean over all terms; the mean is one row, whatever the vocabulary."""
-    raw = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_weights(frequencies: DataFrame, documents: int) -> DataFrame:
+    """term, idf from document frequencies (term, df). A negative idf becomes EPSILON times the mean over all terms; the mean is one row, whatever the vocabulary."""
+    raw = frequencies.withColumn("raw", F.log(F.lit(documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -49,15 +51,25 @@ def term_weights(posted: DataFrame, documents: int) -> DataFrame:
 def bm25_topk(documents: DataFrame, queries: DataFrame, k: int = 15, posted: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, rank for documents (doc_id, text) and queries (query_id, text); scores of 0 and below are left out.
 
-    The query terms reach the postings by an equi-join on the term (a small query set is broadcast), so only postings of queried terms are summed.
+    Document frequencies are summed by term before anything is shuffled. The query terms reach the tokens (or the stored postings) by an
+    equi-join, broadcast if they are few, so only tokens that are asked for are counted and summed.
     """
-    posted = posted if posted is not None else postings(documents)
     sizes = lengths(documents)
     n, mean_len = sizes.agg(F.count(F.lit(1)), F.avg("len")).first()
     asked = queries.select("query_id", F.explode(T.words(F.lower("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = small(asked.join(term_weights(posted, n), "term"))
-    hits = posted.join(weights, "term").join(sizes, "doc_id")
+    few = asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS
+    hinted = F.broadcast if few else (lambda x: x)
+    if posted is None:
+        w = documents.select("doc_id", T.words(F.lower("text")).alias("w"))
+        df = w.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        found = w.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(hinted(asked.select("term").distinct()), "term", "left_semi")
+        # Dealt by document once: the counts and the sums below then need no further shuffle.
+        counted = found.repartition("doc_id").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        counted = posted.join(sizes, "doc_id")
+    weights = hinted(term_weights(df, n).join(hinted(asked), "term"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean_len or 1.0)))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    scored = counted.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
     # Rounded before the cut, so that the order of summation decides no tie.
     return top_k(scored.withColumn("score", F.round("score", 9)), k)

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import vectors as V
 from ..operators import fusion, search
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 STEP = 50
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

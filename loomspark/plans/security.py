@@ -9,7 +9,7 @@ from ..functions import fixed, guard, pii, routing
 from ..functions import scoring as S
 from ..operators import fusion
 from ..operators.joins import meet
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 QUESTIONS = [
@@ -99,7 +99,7 @@ def guard_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, s) for i, s in enumerate(PERSONS)], "doc_id long, text string"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(spark.createDataFrame([(-1 - i, s) for i, s in enumerate(PERSONS)], "doc_id long, text string"))
 
 
 _PII_ROWS = " UNION ALL ".join(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.chunking import chunk_documents as chunks_of
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 PATHS = ["notes/a.md", "b.TXT", "c.tar.pdf", "d.html", "e.json", "f.py", "g.js", "h.ts", "i.csv", "dir.md/none", "j.unknown", ".md", "x/.md", "", "k.Md"]
@@ -37,7 +37,7 @@ def chunk_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as (doc_id, source, text), with section headers about their texts."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     text = F.concat(F.lit("# From "), F.coalesce("source", F.lit("-")), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n##  Language \nIt is "), F.coalesce("lang", F.lit("-")), F.lit(".\n#no header\n##### nor this\n#### End\nDone."))
     return d.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), text.alias("text"))
 
@@ -72,7 +72,7 @@ _SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace({t}, '([
     + " AS s FROM documents) SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS n, unnest(s) AS sentence FROM s"
 )
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
 
 
 SIZE, OVERLAP = 100, 20

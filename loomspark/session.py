@@ -53,3 +53,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, below_mb: int = 64) -> DataFrame:
+    """A small table dealt out over all cores: its few row groups would else give few tasks. Larger tables are left as they are."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below_mb << 20 else df
