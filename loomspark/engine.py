@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import providers as P
@@ -15,7 +15,7 @@ from .config import Settings
 from .functions import fixed, guard, pii, routing
 from .functions import scoring as S
 from .functions import text as T
-from .operators import audit, chunking, decisions, fusion, graph, search, tree
+from .operators import audit, chunking, decisions, evaluation, fusion, graph, search, tree
 from .session import materialise
 from .sources import files
 
@@ -23,10 +23,11 @@ TABLES = ["chunks", "nodes", "edges", "communities", "summaries", "tree", "posti
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, *, summary=None, embedder=None, scorer=None, web=None, extractor=None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, *, summary=None, embedder=None, scorer=None, web=None, extractor=None, judge=None, reflector=None):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings or Settings.from_environment()
         self.summary, self.embedder, self.scorer = summary or P.ExtractiveSummary(), embedder or P.HashedEmbedder(self.settings.embedding_dim), scorer or P.WordOverlap()
         self.web, self.extractor = web or P.NoWeb(), extractor or P.CapitalisedExtractor()
+        self.judge, self.reflector = judge or P.OverlapJudge(), reflector or P.OverlapReflector()
         self.tables: dict[str, DataFrame] = {}
 
     def ingest(self, source: str | DataFrame, glob: str = "*") -> dict:
@@ -66,18 +67,26 @@ class Engine:
     def explain(self, trace_id: str) -> DataFrame:
         return files.read_audit(self.spark, f"{self.folder}/audit", trace_id)
 
-    def channels(self, asked: DataFrame) -> DataFrame:
-        """Hits (query_id, channel, doc_id, rank, score, text) of all channels for questions (query_id, text)."""
+    def channels(self, asked: DataFrame, only: list[str] | None = None, hyde: bool = True) -> DataFrame:
+        """Hits (query_id, channel, doc_id, rank, score, text) of all or some channels for questions (query_id, text).
+
+        With hyde the vector channel is the better of the hits of the question and of a hypothetical answer."""
         s, t = self.settings, self.tables
         q = materialise(self.embedder.embed(asked.select(F.col("query_id").alias("id"), "text")).select(F.col("id").alias("query_id"), F.col("embedding").alias("q_embedding")), "asked")
         corpus = t["lengths"]
-        vec = search.dense_topk(t["embeddings"], q, s.dense_top_k).join(corpus, "doc_id").withColumn("channel", F.lit("vector"))
+        vec = search.dense_topk(t["embeddings"], q, s.dense_top_k)
+        if hyde and s.hyde_enabled:
+            guess = self.summary.complete(asked.select(F.col("query_id").alias("id"), F.col("text").alias("prompt")))
+            h = materialise(self.embedder.embed(guess).select(F.col("id").alias("query_id"), F.col("embedding").alias("q_embedding")), "guessed")
+            vec = search.merged(vec, search.dense_topk(t["embeddings"], h, s.dense_top_k), s.dense_top_k)
+        vec = vec.join(corpus, "doc_id").withColumn("channel", F.lit("vector"))
         sparse = search.bm25_topk(corpus, asked, s.bm25_top_k, t["postings"]).join(corpus, "doc_id").withColumn("channel", F.lit("bm25"))
         nodes = tree.tree_topk(t["tree"], q, s.tree_top_k, settings=s).join(t["tree"].select(F.col("node_id").alias("doc_id"), "text"), "doc_id").withColumn("channel", F.lit("tree"))
         entities = asked.select("query_id", F.explode(F.array_distinct(T.capitalised_spans(F.col("text")))).alias("entity"))
         near = graph.graph_channel(entities, t["nodes"], t["edges"], t["summaries"], t["chunks"], s.graph_top_k, s).withColumn("channel", F.lit("graph"))
         cols = ["query_id", "channel", "doc_id", "rank", "score", "text"]
-        return vec.select(cols).unionByName(sparse.select(cols)).unionByName(near.select(cols)).unionByName(nodes.select(cols))
+        hits = vec.select(cols).unionByName(sparse.select(cols)).unionByName(near.select(cols)).unionByName(nodes.select(cols))
+        return hits if only is None else hits.where(F.col("channel").isin(only))
 
     def query(self, queries: DataFrame, users: DataFrame | None = None, acls: DataFrame | None = None, now: str = "1970-01-01T00:00:00") -> DataFrame:
         """Responses for questions (query_id, text, user_id, role): blocked, strategy, answer, sources, confidence, warnings, trace_id; audit rows are appended."""
@@ -92,19 +101,32 @@ class Engine:
         if users is not None and acls is not None:
             results = fusion.permitted(results.join(hard.select("query_id", "user_id"), "query_id"), users, acls).drop("user_id")
         best = materialise(self._reranked(results, hard), "context")
-        drafts = materialise(self._drafts(best, hard), "drafts")
+        judged = materialise(self.judge.judge(best.where("rank <= 10").join(hard.select("query_id", "question"), "query_id")).withColumn("j", decisions.judgement(F.col("json"))), "judged")
+        bad = judged.select("query_id", F.explode("j.irrelevant").alias("doc_id"))
+        web = self.web.search(judged.where("j.quality = 'INCORRECT'").join(hard, "query_id").select("query_id", F.col("question").alias("text")))
+        context = decisions.chosen_context(best, bad, judged.select("query_id", "j.quality"), web).join(best.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
+        order = Window.partitionBy("query_id").orderBy(F.col("rank").asc_nulls_last(), "doc_id")
+        context = materialise(context.withColumn("rank", F.row_number().over(order)), "chosen")
+        drafts = materialise(self._drafts(context, hard), "drafts")
         answered = decisions.verified(drafts, drafts.select("query_id", F.lit(1).alias("selected")).distinct())
+        told_in = context.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("context"))
+        reflect = lambda a: self.reflector.reflect(a.join(hard.select("query_id", "question"), "query_id").join(told_in, "query_id"))
+        again = lambda a: self.summary.complete(a.select(F.col("query_id").alias("id"), F.concat_ws("\n", "answer", "feedback").alias("prompt"))).select(F.col("id").alias("query_id"), F.col("text").alias("answer"))
+        corrected = decisions.reflect_and_correct(answered.join(told_in.select("query_id"), "query_id"), reflect, again, s.reflection_loops)
+        answered = answered.select("query_id", "strategy").join(corrected, "query_id")
         told = decisions.sources(best).withColumn("n_sources", F.size("sources"))
         simple = self.summary.complete(open_.where("plan.strategy = 'simple'").select(F.col("query_id").alias("id"), F.col("question").alias("prompt"))).select(F.col("id").alias("query_id"), F.col("text").alias("answer"), F.lit(None).cast("string").alias("draft"))
-        answers = answered.withColumnRenamed("strategy", "draft").unionByName(simple.select("query_id", "answer", "draft"))
-        out = q.join(answers, "query_id", "left").join(told, "query_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
-        crag = S.crag_action(F.col("n_sources"), F.when(F.col("plan.strategy") != "simple", F.lit("CORRECT")))
+        answers = answered.withColumnRenamed("strategy", "draft").unionByName(simple.select("query_id", "answer", "draft"), allowMissingColumns=True)
+        out = q.join(answers, "query_id", "left").join(judged.select("query_id", "j.quality"), "query_id", "left").join(told, "query_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
+        crag = S.crag_action(F.col("n_sources"), F.col("quality"))
+        quality = F.coalesce("quality", F.lit(""))
+        mean = F.col("r.average")
         text = F.coalesce("answer", F.lit(""))
         out = out.select(
             "query_id", "trace_id", "timestamp", "user_id", (~F.col("guard.is_safe")).alias("blocked"), F.col("question").alias("query"), F.col("plan.strategy").alias("strategy"), F.col("plan.query_type").alias("query_type"),
-            F.when(F.col("guard.is_safe"), pii.redacted(text, pii.kept(pii.detections(text)))).otherwise(F.col("guard.blocked_reason")).alias("answer"), "sources", "n_sources", crag["quality"].alias("crag_quality"),
-            F.when(F.col("guard.is_safe"), S.confidence(F.when(F.col("n_sources") > 0, "CORRECT").otherwise(""), F.lit(None).cast("double"), F.col("n_sources"))).otherwise(0.0).alias("confidence"),
-            S.warnings(F.when(F.col("n_sources") > 0, "CORRECT").otherwise(""), F.lit(None).cast("double"), F.col("n_sources")).alias("warnings"), F.lit(P.PROVIDER).alias("provider"), F.col("guard.risk_score").alias("risk_score"),
+            F.when(F.col("guard.is_safe"), pii.redacted(text, pii.kept(pii.detections(text)))).otherwise(F.col("guard.blocked_reason")).alias("answer"), "sources", "n_sources", crag["quality"].alias("crag_quality"), crag["action"].alias("crag_action"),
+            F.when(F.col("guard.is_safe"), S.confidence(quality, mean, F.col("n_sources"))).otherwise(0.0).alias("confidence"),
+            S.warnings(quality, F.col("r.support"), F.col("n_sources")).alias("warnings"), F.coalesce("iterations", F.lit(0)).alias("iterations"), "draft", F.lit(P.PROVIDER).alias("provider"), F.col("guard.risk_score").alias("risk_score"),
         )
         out = materialise(out, "responses")
         log = f"{self.folder}/audit"
@@ -113,6 +135,23 @@ class Engine:
         files.append_audit(audit.response_events(out.withColumn("latency_ms", F.lit(0.0))), log)
         return out
 
+    def evaluate(self, gold: DataFrame, k: int = 10, only: list[str] | None = None) -> DataFrame:
+        """Ranking metrics per gold query (query_id, text, gold_source_ids), over all channels or some (ablation)."""
+        asked = gold.select("query_id", "text")
+        found = fusion.fuse(self.channels(asked, only), k, self.settings).select("query_id", "doc_id", "rank")
+        return evaluation.ranking_metrics(asked, found, gold.select("query_id", F.explode("gold_source_ids").alias("doc_id")), k)
+
+    def ablation(self, gold: DataFrame, k: int = 10) -> DataFrame:
+        """One row of mean metrics for each configuration; those that differ only after retrieval have equal rows here."""
+        names, rows, runs = ["precision_at_k", "recall_at_k", "mrr", "ndcg_at_k", "hit_rate"], None, {}
+        for config, on in evaluation.ABLATIONS.items():
+            channels = tuple(c for c in fusion.CHANNELS if c in on)
+            if channels not in runs:
+                runs[channels] = materialise(evaluation.metric_means(self.evaluate(gold, k, list(channels)), names), "means")
+            part = runs[channels].withColumn("config", F.lit(config))
+            rows = part if rows is None else rows.unionByName(part)
+        return evaluation.ablation_table(rows, names)
+
     def _reranked(self, results: DataFrame, questions: DataFrame) -> DataFrame:
         """The fused results in the order of relevance and diversity."""
         s = self.settings

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialise
 from . import fusion
 
 _SCORE = "score:double,explanation:string"
@@ -23,6 +24,63 @@ def reflection(raw: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in s.items()], mean.alias("average"), F.coalesce(r["overall_pass"], F.lit(False)).alias("passed"), F.coalesce(r["recommended_action"], F.lit("ACCEPT")).alias("action"), F.coalesce(r["support"]["unsupported_claims"], F.array().cast("array<string>")).alias("unsupported"))
 
 
+def judgement(raw: Column) -> Column:
+    """struct<quality, confidence, relevant, irrelevant, missing> from a judge's JSON; AMBIGUOUS and 0.5 where it says nothing, null quality where it is no JSON."""
+    r = F.from_json(raw, JUDGEMENT)
+    bad = F.coalesce(r["overall_quality"], r["reasoning"], r["recommended_action"], F.when(r["confidence"].isNotNull(), "")).isNull()
+    ids = lambda c: F.coalesce(r[c], F.array().cast("array<string>"))
+    return F.struct(
+        F.when(~bad, F.coalesce(r["overall_quality"], F.lit("AMBIGUOUS"))).alias("quality"), F.coalesce(r["confidence"], F.lit(0.5)).alias("confidence"), ids("relevant_doc_ids").alias("relevant"), ids("irrelevant_doc_ids").alias("irrelevant"),
+        F.coalesce(r["missing_information"], F.lit("")).alias("missing"),
+    )
+
+
+def sub_questions(raw: Column) -> Column:
+    """array<struct<id,question,purpose,depends_on>> from a decomposition's JSON; a missing id is the place from 1."""
+    qs = F.coalesce(F.from_json(raw, DECOMPOSITION)["sub_questions"], F.array().cast("array<struct<id:int,question:string,purpose:string,depends_on:array<int>>>"))
+    return F.transform(qs, lambda q, i: F.struct(F.coalesce(q["id"], i + 1).alias("id"), F.coalesce(q["question"], F.lit("")).alias("question"), F.coalesce(q["purpose"], F.lit("")).alias("purpose"), F.coalesce(q["depends_on"], F.array().cast("array<int>")).alias("depends_on")))
+
+
+def verification(raw: Column) -> Column:
+    """struct<selected (from 1), answer, n_citations> from a verifier's JSON."""
+    r = F.from_json(raw, VERIFICATION)
+    return F.struct(F.coalesce(r["selected_draft"], F.lit(1)).alias("selected"), F.coalesce(r["final_answer"], F.lit("")).alias("answer"), F.coalesce(F.size(r["citations"]), F.lit(0)).alias("n_citations"))
+
+
+def feedback(r: Column) -> Column:
+    """What a regeneration is told: the scores below 0.6 and the unsupported claims of a reflection struct."""
+    low = [F.when(r[k] < 0.6, F.format_string(f"{k} is low (%.2f)", r[k])) for k in ("relevance", "support", "usefulness", "citations")]
+    return F.concat_ws("; ", *low, F.when(F.size(r["unsupported"]) > 0, F.concat(F.lit("unsupported: "), F.array_join(r["unsupported"], ", "))))
+
+
+def reflect_and_correct(answers: DataFrame, reflect, regenerate, rounds: int = 2) -> DataFrame:
+    """query_id, answer, r (the last reflection), iterations for answers (query_id, answer).
+
+    reflect (query_id, answer) -> (query_id, json); regenerate (query_id, answer, feedback) -> (query_id, answer). Answers that pass or are to be
+    accepted stop; the others are written anew, at most `rounds` times, each round one job over all that are still open, written out.
+    """
+    open_, done = answers.select("query_id", "answer"), None
+    for i in range(1, rounds + 2):
+        seen = materialise(open_.join(reflect(open_).withColumn("r", reflection(F.col("json"))).select("query_id", "r"), "query_id").withColumn("iterations", F.lit(i)), "reflected")
+        stop = F.col("r.passed") | (F.col("r.action") == "ACCEPT")
+        part = seen if i > rounds else seen.where(stop)
+        done = part if done is None else done.unionByName(part)
+        rest = seen.where(~stop)
+        if i > rounds or rest.isEmpty():
+            break
+        open_ = materialise(regenerate(rest.select("query_id", "answer", feedback(F.col("r")).alias("feedback"))).select("query_id", "answer"), "regenerated")
+    return done
+
+
+def display(response: DataFrame) -> Column:
+    """A response as text for a terminal, from columns answer, confidence, sources, strategy, query_type, warnings."""
+    lines = F.transform("sources", lambda s, i: F.format_string("\n  [%d] %s (score: %.3f, via: %s)\n      %s...", i + 1, s["source"], s["relevance_score"], s["channel"], F.substring(s["text_snippet"], 1, 150)))
+    n = F.coalesce(F.size("sources"), F.lit(0))
+    listed = F.when(n > 0, F.concat(F.format_string("\n\nSources (%d):", n), F.array_join(lines, ""))).otherwise("")
+    warn = F.when(F.size("warnings") > 0, F.concat(F.lit("\n\nWarnings:"), F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("\n  - "), w)), ""))).otherwise("")
+    return F.concat(F.format_string("Answer: %s\n\nConfidence: %.1f%%", "answer", F.col("confidence") * 100), listed, F.format_string("\n\nRetrieval Trace:\n  Strategy: %s\n  Query Type: %s", "strategy", "query_type"), warn)
+
+
 def crag_filter(results: DataFrame, irrelevant: DataFrame) -> DataFrame:
     """results (query_id, doc_id, text) without those judged irrelevant (query_id, doc_id), long passages trimmed."""
     return results.join(irrelevant.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti").withColumn("text", T.passage_trim(F.col("text")))

@@ -118,6 +118,48 @@ def draft_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.verified(t.drop("conv_id"), judged)
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN quality = 1 THEN 'CORRECT' ELSE 'AMBIGUOUS' END AS quality, CASE WHEN doc_id % 6 = 0 THEN 0.5::DOUBLE ELSE (doc_id % 11) / 10.0::DOUBLE END AS confidence,
+  CASE WHEN doc_id % 6 = 0 THEN '' ELSE doc_id || ',x' END AS relevant, 0 AS n_irrelevant FROM labels""")
+def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of a judging model, made from labels: quality missing where a document is poor, every sixth is no JSON."""
+    i = F.col("doc_id")
+    raw = F.to_json(F.struct(F.when(F.col("quality") == 1, "CORRECT").alias("overall_quality"), ((i % 11) / 10).alias("confidence"), F.array(i.cast("string"), F.lit("x")).alias("relevant_doc_ids")))
+    d = table(spark, sf_dir, "labels").select("doc_id", D.judgement(F.when(i % 6 == 0, "{broken").otherwise(raw)).alias("j"))
+    return d.select("doc_id", "j.quality", "j.confidence", F.array_join("j.relevant", ",").alias("relevant"), F.size("j.irrelevant").alias("n_irrelevant"))
+
+
+@query("""SELECT doc_id, CAST(unnest(CASE WHEN doc_id % 6 = 0 THEN [] WHEN doc_id % 2 = 0 THEN [7, 2] ELSE [1, 2] END) AS INTEGER) AS id, unnest(CASE WHEN doc_id % 6 = 0 THEN [] ELSE ['what is ' || doc_id, ''] END) AS question FROM labels""")
+def decompose_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of a decomposing model with two sub-questions, the second without id and text; every sixth is no JSON."""
+    i = F.col("doc_id")
+    first = F.struct(F.when(i % 2 == 0, 7).alias("id"), F.concat(F.lit("what is "), i.cast("string")).alias("question"))
+    second = F.struct(F.lit(None).cast("int").alias("id"), F.lit(None).cast("string").alias("question"))
+    raw = F.to_json(F.struct(F.array(first, second).alias("sub_questions")))
+    return table(spark, sf_dir, "labels").select("doc_id", F.explode(D.sub_questions(F.when(i % 6 == 0, "[").otherwise(raw))).alias("q")).select("doc_id", "q.id", "q.question")
+
+
+@query("""SELECT doc_id, CAST(CASE WHEN doc_id % 6 = 0 OR quality = 0 THEN 1 ELSE 3 END AS INTEGER) AS selected, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'answer ' || doc_id END AS answer, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 1 END AS n_citations FROM labels""")
+def verify_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    raw = F.to_json(F.struct(F.when(F.col("quality") == 1, 3).alias("selected_draft"), F.concat(F.lit("answer "), i.cast("string")).alias("final_answer"), F.array(F.struct(F.lit("c").alias("claim"), F.lit("s").alias("source"))).alias("citations")))
+    return table(spark, sf_dir, "labels").select("doc_id", D.verification(F.when(i % 6 == 0, "?").otherwise(raw)).alias("v")).select("doc_id", "v.*")
+
+
+@query("""WITH a AS (SELECT conv_id || '-' || turn AS query_id, turn, length(text) AS n, text FROM conversations)
+SELECT query_id, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN text || '+' ELSE text || '++' END AS answer, CAST(CASE turn % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INTEGER) AS iterations, turn % 4 < 3 AS passed FROM a""")
+def correction_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as answers: a model passes them after turn % 4 regenerations, each of which appends a sign; after two the loop ends."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "turn", F.col("text").alias("answer"))
+    needs = c.select("query_id", (F.col("turn") % 4).alias("needs"), F.length("answer").alias("n"))
+
+    def reflect(open_: DataFrame) -> DataFrame:
+        passed = F.length("answer") - F.col("n") >= F.col("needs")
+        return open_.join(needs, "query_id").select("query_id", F.to_json(F.struct(passed.alias("overall_pass"), F.lit("REGENERATE").alias("recommended_action"))).alias("json"))
+
+    done = D.reflect_and_correct(c, reflect, lambda rest: rest.select("query_id", F.concat("answer", F.lit("+")).alias("answer")))
+    return done.select("query_id", "answer", "iterations", "r.passed")
+
+
 @query()
 def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = scored(spark, sf_dir), F.col

@@ -58,3 +58,33 @@ def test_large_query_sets_meet_items_by_bucket(spark):
     met = meet(q, items, 3)
     assert met.count() == 70_350
     assert met.distinct().count() == 70_350
+
+
+def test_evaluation_ablation_and_command_line(spark, tmp_path, capsys):
+    from loomspark.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    for i, word in enumerate(["harbour", "mountain", "desert", "glacier"]):
+        (tmp_path / "in" / f"{word}.txt").write_text(f"All about the {word} number {i}. The {word} is wide.")
+    store = str(tmp_path / "store")
+    engine = Engine(spark, store)
+    engine.ingest(str(tmp_path / "in"))
+    ids = {r.text.split()[3]: r.chunk_id for r in engine.tables["chunks"].collect()}
+    gold = spark.createDataFrame([("1", "glacier wide", [ids["glacier"]]), ("2", "desert", [ids["desert"]])], "query_id string, text string, gold_source_ids array<string>")
+    # A summary node, which stands in three channels, may come before the chunk itself.
+    assert all(r.mrr >= 0.5 and r.recall_at_k == 1.0 for r in engine.evaluate(gold).collect())
+    table = {r.config: r for r in engine.ablation(gold).collect()}
+    assert len(table) == 9
+    assert table["full_hybrid"].recall_at_k == table["vector_bm25"].recall_at_k == 1.0
+    assert table["graph_only"].recall_at_k == 0.0
+    capsys.readouterr()
+    assert main(["version"]) == 0
+    assert main(["--store", store, "query", "Compare the glacier and the desert for me and also tell which is better"]) == 0
+    assert "Sources (" in capsys.readouterr().out
+    (tmp_path / "gold.json").write_text(json.dumps([{"query": "glacier", "gold_source_ids": [ids["glacier"]]}]))
+    base = str(tmp_path / "base")
+    assert main(["--store", store, "evaluate", str(tmp_path / "gold.json"), "--baseline", base, "--save-baseline"]) == 0
+    assert main(["--store", store, "evaluate", str(tmp_path / "gold.json"), "--baseline", base]) == 0
+    (tmp_path / "gold.json").write_text(json.dumps([{"query": "glacier", "gold_source_ids": ["nowhere"]}]))
+    assert main(["--store", store, "evaluate", str(tmp_path / "gold.json"), "--baseline", base]) == 1
+    assert main(["--store", store, "health"]) == 0
