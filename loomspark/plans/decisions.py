@@ -160,7 +160,21 @@ def correction_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("query_id", "answer", "iterations", "r.passed")
 
 
-@query()
+_CONF = "CASE crag_quality WHEN 'CORRECT' THEN 0.9::DOUBLE WHEN 'AMBIGUOUS' THEN 0.5 ELSE 0.2 END"
+_HAVE = "CASE WHEN n_sources >= 5 THEN 0.9::DOUBLE WHEN n_sources >= 2 THEN 0.7 WHEN n_sources >= 1 THEN 0.5 ELSE 0.1 END"
+_LINE = " || ".join(f"chr(10) || printf('   - {n}: %.2f', {n})" for n in ("relevance", "support", "usefulness", "citations"))
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT *, floor(100 * CASE WHEN support IS NULL THEN ({_CONF} + {_HAVE}) / 2 ELSE ({_CONF} + (relevance + support) / 2 + {_HAVE}) / 3 END + 0.000001) / 100 AS conf,
+  list_filter([CASE WHEN crag_quality = 'INCORRECT' THEN '{fixed.WARN_INCORRECT}' END, CASE WHEN crag_quality = 'AMBIGUOUS' THEN '{fixed.WARN_AMBIGUOUS}' END, CASE WHEN coalesce(support, 1.0) < 0.5 THEN '{fixed.WARN_SUPPORT}' END,
+    CASE WHEN n_sources = 0 THEN '{fixed.WARN_SOURCES}' END], lambda x: x IS NOT NULL) AS w FROM s)
+SELECT doc_id, '1. ROUTING: Query classified as [moderate] (type: factoid)' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '   - Decomposed into 2 sub-questions:' || chr(10) || '     * one?' || chr(10) || '     * two?' ELSE '' END || chr(10)
+  || CASE WHEN doc_id % 2 = 0 THEN '2. HyDE: Generated hypothetical answer document ("a hypothetical answer...")' ELSE '2. HyDE: Skipped (not enabled for this query type)' END || chr(10)
+  || '3. RETRIEVAL: Used 2 channels:' || chr(10) || '   - vector: 20 results' || chr(10) || '   - bm25: 15 results' || chr(10)
+  || CASE WHEN crag_quality <> '' THEN '4. CRAG EVALUATION: Quality=' || crag_quality || ', Action=PROCEED' || CASE WHEN crag_quality = 'INCORRECT' THEN chr(10) || '   - Web search fallback was triggered' ELSE '' END ELSE '4. CRAG: Skipped' END || chr(10)
+  || '5. SPECULATIVE RAG (MoT): Generated 3 drafts:' || chr(10) || '   - step_by_step <-- SELECTED' || chr(10) || '   - evidence_first' || chr(10) || '   - contrarian_check' || chr(10)
+  || CASE WHEN support IS NOT NULL THEN '6. SELF-RAG: 1 reflection iteration(s)' || {_LINE} ELSE '6. SELF-RAG: Skipped' END || chr(10)
+  || printf('7. RESULT: Confidence=%.1f%%, %d sources, latency=12ms', conf * 100, n_sources) || CASE WHEN len(w) > 0 THEN chr(10) || '   WARNINGS:' || chr(10) || '   - ' || array_to_string(w, chr(10) || '   - ') ELSE '' END AS explanation FROM c""")
 def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = scored(spark, sf_dir), F.col
     names = ("relevance", "support", "usefulness", "citations")
@@ -169,7 +183,7 @@ def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("a hypothetical answer").alias("hyde_document"), F.array(F.struct(F.lit("vector").alias("channel"), F.lit(20).alias("n")), F.struct(F.lit("bm25").alias("channel"), F.lit(15).alias("n"))).alias("channel_counts"), "crag_quality",
         F.lit("PROCEED").alias("crag_action"), (c("crag_quality") == "INCORRECT").alias("web_used"), F.array(*map(F.lit, fixed.DRAFT_STRATEGIES)).alias("strategies"), F.lit(fixed.DRAFT_STRATEGIES[0]).alias("selected"),
         F.when(c("support").isNotNull(), 1).otherwise(0).alias("iterations"), F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(n, F.lit(0.0)).alias("score")) for n in names]).alias("scores"),
-        F.coalesce(S.confidence(c("crag_quality"), (c("relevance") + c("support")) / 2, c("n_sources")), F.lit(0.0)).alias("confidence"), "n_sources", F.lit(12.0).alias("latency_ms"), S.warnings(c("crag_quality"), c("support"), c("n_sources")).alias("warnings"),
+        (F.floor(100 * S.confidence(c("crag_quality"), (c("relevance") + c("support")) / 2, c("n_sources")) + 0.000001) / 100).alias("confidence"), "n_sources", F.lit(12.0).alias("latency_ms"), S.warnings(c("crag_quality"), c("support"), c("n_sources")).alias("warnings"),
     )
     return rows.select("doc_id", D.explanation(rows).alias("explanation"))
 

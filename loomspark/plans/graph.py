@@ -98,6 +98,18 @@ def communities_cc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.communities(nodes(spark, sf_dir), edges(spark, sf_dir, parts=False))
 
 
+@query("SELECT n_name AS asked, r_name AS community, 'All about ' || r_name AS summary FROM nation JOIN region ON n_regionkey = r_regionkey")
+def community_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The community and summary of nations, asked for in lower case; a community is called by its smallest name among regions and nations."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    names = r.select(F.col("r_name").alias("name")).unionByName(n.select(F.col("n_name").alias("name")))
+    places = edges(spark, sf_dir, parts=False).where("relation_type = 'PART_OF'")
+    members = G.communities(names, places)
+    summaries = members.join(r.select(F.col("r_name").alias("name")), "name").select("community", F.col("name").alias("region"), F.concat(F.lit("All about "), "name").alias("summary"))
+    asked = n.select(F.lower("n_name").alias("key"), F.col("n_name").alias("asked"))
+    return members.withColumn("key", F.lower("name")).join(asked, "key").join(summaries, "community").select("asked", F.col("region").alias("community"), "summary")
+
+
 @query()
 def communities_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.label_propagation(nodes(spark, sf_dir), edges(spark, sf_dir))

@@ -33,6 +33,13 @@ def test_scan_query_and_explain(spark, tmp_path):
     assert {r.event for r in log} == {"query", "security", "response"}
 
 
+def test_one_file(spark, tmp_path):
+    (tmp_path / "x.md").write_bytes(b"ok \xff end\nsecond line")
+    ((source, text),) = [tuple(r) for r in files.read_file(spark, str(tmp_path / "x.md")).collect()]
+    assert source.endswith("x.md")
+    assert text == "ok � end\nsecond line"
+
+
 def test_gold_files(spark, tmp_path):
     one = {"query": "a?", "gold_answer": "b", "gold_source_ids": ["x"], "gold_entities": [], "difficulty": "easy", "category": "c", "tags": ["t"]}
     (tmp_path / "list.json").write_text(json.dumps([one, {**one, "query": "b?"}], indent=1))
