@@ -4,8 +4,8 @@ A text is a vector of hashed byte 2-grams and 3-grams of its lower-cased form (w
 and ASCII punctuation left out), as square roots of counts scaled to length one. Linear support vector machines, one
 against the rest, choose the language family; within it machines for each pair of languages vote.
 
-The machines are fitted on at most `per_language` labelled texts of each language, those of the lowest hash of doc_id,
-by dual coordinate descent. Only their vectors come to the driver (16 KB each).
+The machines are fitted on at most `per_language` labelled texts of each language and `most_rows` in all, those of the lowest
+hash of doc_id, by dual coordinate descent. Only their vectors come to the driver (16 KB each, so 160 MB however many languages there are).
 
 Defined results: a null text, or one without a letter, is `und` with score 0; documents without a lang are judged but not
 learned from; a null doc_id counts as not held out and is not learned from; with no labelled text everything with a letter is `und`; repeated rows are judged
@@ -124,12 +124,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["lang", "order", "x"])
 
 
-def fit(labelled: DataFrame, per_language: int = 400) -> Model | None:
-    """A model from (doc_id, text, lang), from at most per_language texts of each language."""
+def fit(labelled: DataFrame, per_language: int = 400, most_rows: int = 10_000) -> Model | None:
+    """A model from (doc_id, text, lang), from at most per_language texts of each language and most_rows in all."""
     labelled = labelled.where("lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    share = {r[0]: min(1.0, 1.3 * per_language / r[1] + 20 / r[1]) for r in labelled.groupBy("lang").count().collect()}
-    if not share:
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    if not sizes:
         return None
+    per_language = max(1, min(per_language, most_rows // len(sizes)))
+    share = {lang: min(1.0, 1.3 * per_language / n + 20 / n) for lang, n in sizes.items()}
     order = F.xxhash64("doc_id")
     limit = F.create_map(*[F.lit(v) for kv in share.items() for v in kv])[F.col("lang")]
     some = labelled.where(F.pmod(order, F.lit(1_000_000)) < limit * 1_000_000)
