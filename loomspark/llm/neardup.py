@@ -163,7 +163,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, b
             pairs = outside.join(chosen, "band").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
         else:
             pairs = _prefix_pairs(open_, sets, percent)
-        links = materialise(links.unionByName(verified(pairs, stage).where(linked).select("a", "b")), "links")
+        # The components so far stand for the links so far: each node with its smallest one.
+        known = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        links = known.unionByName(verified(pairs, stage).where(linked).select("a", "b"))
     final = connected_components(links).select(F.col("node").alias("rep"), "component")
     named = reps.select(*same, "rep").join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = summary.select("doc_id", "n_shingles", "h1", "h2").join(named, same, "left")
