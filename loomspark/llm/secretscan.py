@@ -2,9 +2,11 @@
 
 Three base patterns (assign, access, hex) are found exactly as stated. Automata for credential formats are inferred from
 labelled credentials: a prefix tree of their symbols (the first characters as they are, later ones by class) whose
-statistically compatible states are merged (ALERGIA, Hoeffding bound). Every long token with a letter and a digit is
-scored by its likelihood under the automaton against ordinary tokens; tokens that score above every ordinary one of the
-training set are added as spans of kind `grammar`. Base spans always stay, and an added span never overlaps one.
+statistically compatible states are merged (ALERGIA, Hoeffding bound). Tokens of 20 characters or more (no format is shorter)
+are scored by their likelihood under the automaton against ordinary tokens, from every place in a run of token characters where
+a letter or digit follows none; what the automaton leaves within its literal beginning is of no format. Tokens that score above
+every ordinary one of the training set are added as spans of kind `grammar`: up to the last end that the automaton reaches if that
+scores enough, else up to the end of the best sum. Base spans always stay, and an added span never overlaps one.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned once each; a null doc_id is passed on; an empty
 table gives no rows; further columns are ignored.
@@ -32,9 +34,11 @@ _ORDER = (*KINDS, "grammar")
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
+_START = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]")
+_END = re.compile(r"(?<![.=-])(?![A-Za-z0-9])")
 _WORDS = ("passw", "secret", "token", "api")
-LITERAL = 4
+LITERAL, SHORTEST = 4, 20
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -47,9 +51,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def kind(c: str) -> str:
+    return "9" if c.isdigit() else "h" if c in "abcdef" else "a" if c.islower() else "H" if c in "ABCDEF" else "A" if c.isupper() else c
+
+
 def symbols(token: str) -> list[str]:
     """The first characters as they are, then classes: hexadecimal letters apart from other letters."""
-    kind = lambda c: "9" if c.isdigit() else "h" if c in "abcdef" else "a" if c.islower() else "H" if c in "ABCDEF" else "A" if c.isupper() else c
     return list(token[:LITERAL]) + [kind(c) for c in token[LITERAL:]]
 
 
@@ -177,12 +184,67 @@ class Grammar:
         self.other = math.log(0.5 / (n + 50))
         good, bad = sorted(map(self.score, positive)), sorted(map(self.score, negative))
         self.limit = max(bad[-1] + 0.1, good[len(good) // 50] - 0.3)
+        self.steps: dict[tuple[int | None, str], tuple[int | None, float]] = {}
 
     def score(self, token: str) -> float:
         """Log likelihood per symbol under the formats, less that of ordinary tokens."""
         s = symbols(token)
         return self.automaton.log_likelihood(s) - sum(self.plain.get(c, self.other) for c in s) / max(1, len(s))
 
+    def _step(self, q: int | None, c: str) -> tuple[int | None, float]:
+        """The next state, and by how much the symbol's score exceeds the limit."""
+        if (q, c) not in self.steps:
+            a = self.automaton
+            n, seen = (0, 0) if q is None else (a._total(q), a.count[q][c])
+            self.steps[q, c] = (None if q is None else a.next[q].get(c), math.log((seen + 0.02) / (n + 2.0)) - self.plain.get(c, self.other) - self.limit)
+        return self.steps[q, c]
+
+    def spans(self, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Tokens within text[lo:hi], a part of one run, whose score reaches the limit.
+
+        What follows a place in a state does not depend on where the token began, so it is worked out once: time is linear in the run.
+        """
+        out, known, at = [], {}, lo
+        for m in _START.finditer(text, lo, hi):
+            a = m.start()
+            if a < at or hi - a < SHORTEST:
+                continue
+            q, head = 0, 0.0
+            for p in range(a, a + SHORTEST):
+                q, more = self._step(q, text[p] if p < a + LITERAL else kind(text[p]))
+                head += more
+                if q is None and p < a + LITERAL:
+                    break
+            else:
+                reached, r, best, b = self._rest(text, a + SHORTEST, hi, q, known)
+                at = reached if head + r >= 0 else best if head + b >= 0 else at
+                if at > a:
+                    out.append((a, at))
+        return out
+
+    def _rest(self, text: str, p: int, hi: int, q: int | None, known: dict) -> tuple[int, float, int, float]:
+        """From a place and state on: the last end that the automaton reaches and the excess up to it, the end of the most excess and that."""
+        path = []
+        while (p, q) not in known:
+            path.append((p, q))
+            if p == hi:
+                break
+            to, more = self._step(q, kind(text[p]))
+            path[-1] += (more,)
+            p, q = p + 1, to
+        found = known.get((p, q), (0, -math.inf, 0, -math.inf))
+        for p, q, *more in reversed(path):
+            reached, r, best, b = found
+            if more:
+                r, b = r + more[0], b + more[0]
+            if _END.match(text, p):
+                if not reached and q is not None:
+                    reached, r = p, 0.0
+                if b < 0:
+                    best, b = p, 0.0
+            found = known[p, q] = (reached, r, best, b)
+        return found
+
 
 @functools.cache
 def fitted() -> Grammar:
@@ -198,19 +260,13 @@ def find(text: str | None, grammar: Grammar) -> tuple[list[tuple[str, int, int]]
     for a, b in sorted((a, b) for _, a, b in base):
         starts.append(a)
         ends.append(max(b, ends[-1] if ends else b))
-
-    def taken(a: int, b: int) -> bool:
-        i = bisect.bisect_left(starts, b) - 1
-        return i >= 0 and ends[i] > a
-
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.start(), m.end()
-        while b > a and text[b - 1] in ".-=":
-            b -= 1
-        token = text[a:b]
-        if b - a >= 20 and any("0" <= c <= "9" for c in token) and not token.isdigit() and not taken(a, b) and grammar.score(token) >= grammar.limit:
-            more.append(("grammar", a, b))
-    return base, more
+    for m in _RUN.finditer(text):
+        lo, i = m.start(), bisect.bisect_right(ends, m.start())
+        while i < len(starts) and starts[i] < m.end():
+            more += grammar.spans(text, lo, starts[i])
+            lo, i = max(lo, ends[i]), i + 1
+        more += grammar.spans(text, lo, m.end())
+    return base, [("grammar", a, b) for a, b in more]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
