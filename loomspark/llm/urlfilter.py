@@ -5,8 +5,9 @@ the rule's; the longest wins. URLs that redirect to or name each other as canoni
 components over these edges carry a block to every alias that no rule of its own decides, unless the component also
 holds a URL that a rule allows. A URL that nothing decides is allowed.
 
-Edges are read from the pages themselves (a canonical link, a refreshing meta element) and may be added from a
-redirect log. Only URLs on an edge enter the components; no group is gathered anywhere.
+Edges are read from the pages themselves (canonical links, refreshing meta elements; relative targets are resolved against the
+page's URL or its base element, character references decoded) and may be added from a redirect log; the SQL twin reads only
+absolute targets without references. Only URLs on an edge enter the components; no group is gathered anywhere.
 
 Defined results: a null URL, or one without "://", has an empty host and path, fits no rule and is allowed; a null or empty html
 gives no edges; repeated URLs are one node, repeated rows are judged once each; a repeated or null page_id does no
@@ -15,6 +16,10 @@ harm; empty tables give no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +28,11 @@ from ..session import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*url\s*=\s*([^"'\s>]+)"""
+# Values in quotes may hold ">"; a tag whose quotes do not close ends at the first one.
+_TAG = r"""(?is)<(?:link|meta|base)\b(?:(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+>|[^>]*+>)"""
+_ATTRIBUTE = r"""(?is)^<\w++(?:[^\s"'>]++|\s++|"[^"]*+"|'[^']*+'|["'])*?(?<=[\s"'/])%s\s*+=\s*+("[^"]*+"|'[^']*+'|["']?[^\s"'>]++)"""
+_REFERENCE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=;]))|[^&]+|&"
+_REFRESH = r"""(?is)^(?:\s*[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?|.*?\burl\s*=\s*)("[^"]*|'[^']*|[^\s"']\S*)"""
 
 
 def host_of(url: Column) -> Column:
@@ -35,12 +43,68 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once and written once into the plan, also where a filter is pushed below it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def decoded(text: Column) -> Column:
+    """The text with its character references decoded, as in an attribute's value."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def numbered(piece: Column) -> Column:
+        short = F.regexp_extract(piece, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        code = F.when(F.length(short) > 8, F.lit(None)).when(piece.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(short).try_cast("long")
+        valid = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return _let(code, lambda n: F.when(valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("�"))
+
+    one = lambda piece: F.when(piece.rlike("^&#[xX]?[0-9a-fA-F]"), numbered(piece)).when(piece.startswith("&"), F.coalesce(names[F.substring(piece, 2, 64)], piece)).otherwise(piece)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), one), "")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.regexp_replace(F.regexp_extract(tag, _ATTRIBUTE % name, 1), r"""(?s)^(["'])(.*)\1$|^["']""", "$2")
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A target as a page at base means it; null if it is empty, or relative to a base without "://". Absolute targets stay as they are."""
+    site = r"(?s)^(.*?://[^/?#]*)"
+    up = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+
+    def flat(path: Column) -> Column:
+        parts = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.array().cast("array<string>"), up)
+        return F.when(path.rlike(r"/\.\.?/"), F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise(path)
+
+    def joined(v: Column) -> Column:
+        t, path = v["t"], v["path"]
+        folder = F.concat(v["site"], F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1)))
+        return F.when(t.startswith("//"), F.concat(F.regexp_extract(v["base"], "(?s)^(.*?:)//", 1), t)).when(t.startswith("/"), F.concat(v["site"], t)).otherwise(F.concat(folder, t))
+
+    def whole(j: Column) -> Column:
+        return F.concat(F.regexp_extract(j, site, 1), _let(F.regexp_replace(path_of(j), r"/(\.\.?)$", "/$1/"), flat), F.regexp_extract(j, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1))
+
+    def found(v: Column) -> Column:
+        t = v["t"]
+        same = F.when(t.startswith("?"), F.concat(v["site"], v["path"], t)).when(t.startswith("#"), F.concat(F.regexp_extract(v["base"], "(?s)^([^#]*)", 1), t)).otherwise(_let(joined(v), whole))
+        return F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), t).when((t != "") & (v["site"] != ""), same)
+
+    clean = F.regexp_replace(F.regexp_replace(target, r"[\t\r\n\f]", ""), "^ +| +$", "")
+    parts = lambda v: F.struct(v["base"].alias("base"), v["t"].alias("t"), F.regexp_extract(v["base"], site, 1).alias("site"), path_of(v["base"]).alias("path"))
+    return _let(F.struct(base.alias("base"), clean.alias("t")), lambda v: _let(parts(v), found))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between URLs that the pages' canonical links and refreshing meta elements state."""
-    html = F.col("html")
-    likely = pages.where("url is not null").where(html.rlike(r"(?i)\bcanonical\b|http-equiv"))
-    targets = F.filter(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1)), lambda x: x.contains("://"))
-    return likely.select(F.col("url").alias("a"), F.explode(targets).alias("b"))
+    """Edges (a, b) between URLs that the pages' canonical links and refreshing meta elements state, all of them, relative ones as the page means them."""
+    likely = pages.where("url is not null").where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv"))
+    tags = likely.select(F.col("url").alias("a"), F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)).alias("tags"))
+    of = lambda name: F.filter("tags", lambda x: F.lower(F.substring(x, 2, 4)) == name)
+    links = F.transform(F.filter(of("link"), lambda x: _attribute(x, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")), lambda x: F.struct(F.lit(False).alias("refresh"), _attribute(x, "href").alias("value")))
+    refreshes = F.transform(F.filter(of("meta"), lambda x: F.lower(F.trim(_attribute(x, "http-equiv"))) == "refresh"), lambda x: F.struct(F.lit(True).alias("refresh"), _attribute(x, "content").alias("value")))
+    first = F.get(F.filter(F.transform(of("base"), lambda x: _attribute(x, "href")), lambda x: x != ""), F.lit(0))
+    found = tags.select("a", first.alias("first"), F.explode(F.concat(links, refreshes)).alias("l"))
+    aimed = _let(F.struct(F.col("l.refresh").alias("refresh"), decoded(F.col("l.value")).alias("value")), lambda v: F.when(v["refresh"], F.regexp_replace(F.regexp_extract(v["value"], _REFRESH, 1), "^[\"']", "")).otherwise(v["value"]))
+    base = F.coalesce(resolved(F.col("a"), decoded(F.col("first"))), F.col("a"))
+    return found.select("a", resolved(base, aimed).alias("b")).where(F.col("b").contains("://"))
 
 
 def _ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:

@@ -25,6 +25,30 @@ def test_verdicts(spark):
     assert urlfilter.judge(df.where("false"), urlfilter.RULES).count() == 0
 
 
+FORMS = [
+    ("http://p.org/a/b?q#f", '<link rel="canonical" href="/es/1">', ["http://p.org/es/1"]), ("https://p.org/a/b", "<link href='//a.net/es/1' rel='canonical'>", ["https://a.net/es/1"]),
+    ("http://p.org/a/b", "<link rel=canonical href=c/./d/../e>", ["http://p.org/a/c/e"]), ("http://p.org", "<link rel=canonical href=x>", ["http://p.org/x"]), ("http://p.org/a/b/", "<link rel=canonical href='../..'>", ["http://p.org/"]),
+    ("http://p.org/a/b?q", "<link rel=canonical href='?r=1'>", ["http://p.org/a/b?r=1"]), ("http://p.org/a", '<link rel="canonical" href="/go?u=http://b.net/../x">', ["http://p.org/go?u=http://b.net/../x"]),
+    ("http://p.org/a", '<link rel="alternate Canonical" title="a > b" href="http://b.net/?a=1&amp;b=2&copy=3&#47;&#x2F;&#38;amp;">', ["http://b.net/?a=1&b=2&copy=3//&amp;"]),
+    ("http://p.org/a", '<meta http-equiv="refresh" content="0; url=/es/1">', ["http://p.org/es/1"]), ("http://p.org/a", """<META content="0;URL='http://b.net/es/1'" http-equiv=Refresh>""", ["http://b.net/es/1"]),
+    ("http://p.org/a", '<meta http-equiv=refresh content=0;url=http://b.net/es/1>', ["http://b.net/es/1"]), ("http://p.org/a", "<meta http-equiv='refresh' content='5, http://b.net/es/1'>", ["http://b.net/es/1"]),
+    ("http://p.org/a", '<meta http-equiv="refresh" content="0; url=&quot;/es/1&quot;">', ["http://p.org/es/1"]), ("http://p.org/a", '<meta http-equiv="refresh" content="30"><link rel="stylesheet" href="/canonical">', []),
+    ("http://p.org/a", '<base href="//c.net/d/"><link rel="canonical" href="e"><link rel="canonical" data-href="/n" href="/f"/><meta http-equiv="refresh" content="1;url=g"><meta http-equiv="refresh" content="2;url=h">', ["http://c.net/d/e", "http://c.net/d/g", "http://c.net/d/h", "http://c.net/f"]),
+    ("no scheme", "<link rel=canonical href=/x>", []), ("http://p.org/a", "<link rel=canonical href=''><link rel=canonical href='mailto:a@b.c'><link rel=canonical href='&#0;&#xD800;&#99999999999;://'>", ["http://p.org/\ufffd\ufffd\ufffd://"]),
+]
+
+
+def test_every_form_of_link_gives_its_edge(spark):
+    got = urlfilter.page_edges(spark.createDataFrame([(u, h) for u, h, _ in FORMS], "url string, html string")).collect()
+    assert sorted(map(tuple, got)) == sorted((u, x) for u, _, want in FORMS for x in want)
+
+
+def test_relative_aliases_inherit_a_block(spark):
+    rows = [(1, "http://n.net/de/1", '<link rel="canonical" href="/es/1">'), (2, "http://b.org/x", "<meta http-equiv='refresh' content='0; url=//n.net/fr/2?a=1&amp;b=2'>"), (3, "http://c.org/", "<link rel=canonical href=/d>"), (4, "http://c.org/d", '<meta http-equiv="refresh" content="1"><meta http-equiv="refresh" content="0;http://n.net/es/4">')]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urlfilter.judge(df, urlfilter.RULES).collect()} == dict.fromkeys((1, 2, 3, 4), "block")
+
+
 def test_a_redirect_log_adds_edges(spark):
     df = spark.createDataFrame([(1, "http://a.org/", None), (2, "http://b.net/es/", None)], "page_id long, url string, html string")
     log = spark.createDataFrame([("http://a.org/", "http://b.net/es/"), (None, "http://a.org/")], "a string, b string")
