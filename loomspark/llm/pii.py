@@ -1,7 +1,7 @@
 """Operator 6: personal data by base patterns and a semi-Markov conditional random field.
 
 Four base patterns (email, ip, card, phone) are found exactly as stated, in time linear in the text. Around anything that
-looks like part of an entity the field then scores whole spans of one to `LONGEST` tokens by features of the span
+looks like part of an entity the field then scores whole spans of one to `SHORT` tokens (numbers and masked addresses of any) by features of the span
 and its neighbours, and bounded-entity dynamic programming picks boundaries and kinds together. It adds
 spans that the patterns do not state, such as national telephone numbers after a cue, masked addresses, or a telephone and a card number
 that stand side by side and that a pattern took for one too long match; base spans always stay, and an added span never overlaps one.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 5
+SHORT = 5
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -86,6 +86,13 @@ _AT = re.compile(r"(?i)^[a-z0-9._%+-]+ ?(?:@|[(\[{<] ?at ?[)\]}>]) ?[a-z0-9-]+(?
 _NATIONAL = re.compile(r"^(?:\(0?[0-9]{2,5}\)[ -]?|0[0-9]{1,4}[ /-])?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}$")
 _INTERNATIONAL = re.compile(r"^\+[0-9][\x20().0-9-]+[0-9]$")
 _TRIM = " .,;:!?\"'"
+# A masked address from its local part on, and how one goes on behind a label or the sign: longer ones than SHORT words are found by these.
+_DOT = r"(?:\.|\s*[(\[{<]\s?dot\s?[)\]}>]\s*)"
+_MASKED = re.compile(rf"(?i)[a-z0-9._%+-]++\s*(?:@|[(\[{{<]\s?at\s?[)\]}}>])\s*[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+")
+_DOMAIN_ON = re.compile(rf"(?i)\s*[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*")
+_GOES_ON = re.compile(r"(?i)\s*[(\[{<]\s?dot\s?[)\]}>]\s*[a-z0-9-]")
+_NUMBER_WORD = re.compile(r"[0-9+().,;:!?\"'/-]+")
+MOST_DIGITS = 19
 
 
 def span_features(text: str, before: str) -> list[str]:
@@ -118,19 +125,45 @@ class Field:
 
     @staticmethod
     def spans(text: str, tokens: list[tuple[int, int]], taken: Callable[[int, int], bool] = lambda a, b: False) -> list[list[tuple[int, int, int, list[str]]]]:
-        """For each end j the candidate spans: first token, start, end, features. Words without a digit or sign make none, nor does what is taken."""
+        """For each end j the candidate spans: first token, start, end, features. Words without a digit or sign make none, nor does what is taken.
+
+        Of more than SHORT words are numbers (of no more digits than any kind has) and masked addresses, however many words these have.
+        """
         out: list[list[tuple[int, int, int, list[str]]]] = [[] for _ in range(len(tokens) + 1)]
+        longer: list[list[int]] = [[] for _ in range(len(tokens) + 1)]
+        ends = [b for _, b in tokens]
+        numbers: list[tuple[int, int]] = []  # words with digits of the present run of numbers, and how many digits each has
+        first = 0
+        for j, (a, b) in enumerate(tokens, 1):
+            if m := _MASKED.match(text, a):
+                k = bisect.bisect_left(ends, m.end()) + 1
+                if k <= len(tokens) and k - j >= SHORT and not text[m.end() : ends[k - 1]].strip(_TRIM):
+                    longer[k].append(j - 1)
+            if not _NUMBER_WORD.fullmatch(text, a, b):
+                numbers, first = [], j
+            elif d := len(_digits(text[a:b])):
+                numbers.append((j - 1, d))
+                left = MOST_DIGITS
+                for i, d in reversed(numbers):
+                    left -= d
+                    if left < 0:
+                        break
+                    # A sign or bracket may stand by itself before the digits.
+                    longer[j] += [x for x in (i, i - 1) if x >= first and j - x > SHORT]
         for j in range(1, len(tokens) + 1):
-            for i in range(max(0, j - LONGEST), j):
+            for i in sorted({*longer[j], *range(max(0, j - SHORT), j)}):
                 a, b = tokens[i][0], tokens[j - 1][1]
                 while a < b and text[a] in _TRIM:
                     a += 1
                 while b > a and text[b - 1] in _TRIM:
                     b -= 1
                 part = text[a:b]
-                if b > a and b - a <= 120 and not taken(a, b) and (_DIGIT.search(part) or "@" in part or _AT.match(part)):
+                if b > a and not taken(a, b) and (_DIGIT.search(part) or "@" in part or _AT.match(part)):
+                    words = " ".join(part.split())
+                    if _AT.match(words) and _GOES_ON.match(text, b):
+                        continue
                     before = text[tokens[i - 1][0] : tokens[i - 1][1]] if i else ""
-                    out[j].append((i, a, b, span_features(" ".join(part.split()), before)))
+                    out[j].append((i, a, b, span_features(words, before)))
         return out
 
     def decode(self, text: str, tokens: list[tuple[int, int]], taken: Callable[[int, int], bool] = lambda a, b: False, margin: float = 1.0) -> list[tuple[str, int, int]]:
@@ -274,9 +307,11 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
         # Three words to either side, but no word of more than 200 characters.
         lo = max(stop, seed.start() - 200)
         left = [m.span() for m in _TOKEN.finditer(text, lo, seed.start())][-4:]
-        hi = min(len(text), seed.end() + 200)
+        on = None if text[seed.end() - 1].isdigit() else _DOMAIN_ON.match(text, seed.end())
+        reach = on.end() if on else seed.end()
+        hi = min(len(text), reach + 200)
         tokens = [m.span() for m in _TOKEN.finditer(text, left[0][0] if left else seed.start(), hi)]
-        end = next((k for k, s in enumerate(tokens) if s[0] >= seed.end()), len(tokens))
+        end = next((k for k, s in enumerate(tokens) if s[0] >= reach), len(tokens))
         tokens = tokens[: end + 3]
         found = field.decode(text, tokens, taken)
         out += found

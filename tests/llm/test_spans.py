@@ -48,6 +48,17 @@ def test_added_personal_data():
         assert added(clean) == []
 
 
+def test_added_personal_data_of_many_words():
+    field = pii.fitted()
+    added = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, field)[1]]
+    for mail in ("jane (at) mail (dot) example (dot) com", "jane [at] a [dot] b [dot] c [dot] example [dot] org", "jane (at) mail.example (dot) co (dot) uk"):
+        assert added(f"write to {mail} please") == [("email", mail)]
+        assert added(f"write to {mail}. Then call") == [("email", mail)]
+    for phone in ("+33 1 23 45 67 89", "+33 1 23 45 67 8 9", "+4 9 3 0 1 2 3 4 5 6 7"):
+        assert added(f"x {phone} 4524132264652876 y") == [("phone", phone), ("card", "4524132264652876")]
+    assert added("see 1 2 3 4 5 6 7 8 today") == []
+
+
 def test_personal_data_in_edge_rows(edge_documents, edge_rows, no_documents):
     got = pii.personal_data(edge_documents).collect()
     assert len(got) == len(edge_rows)
