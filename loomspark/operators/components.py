@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,10 +35,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark[0] == 0 or tuple(mark) == seen:
             break
-        seen = tuple(mark)
-        state = materialise(_small_star(_large_star(state)), "star")
+        seen, before = tuple(mark), state
+        state = materialise(_small_star(_large_star(before)), "star")
+        release(before)
     else:
         raise RuntimeError("components did not settle")
-    return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+    out = state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+    out.scratch = state.scratch
+    return out

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
 
-def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """Marked for broadcast if it has at most that many rows; the check reads no more than rows + 1 of them."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes."""
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, StringType | BinaryType):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(kind, ArrayType) and isinstance(kind.elementType, NumericType):
+            total = total + F.greatest(F.size(c), F.lit(0)) * 8
+        elif isinstance(kind, ArrayType | MapType | StructType):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return total
+
+
+def small(df: DataFrame, rows: int = 10_000, megabytes: int = 32) -> DataFrame:
+    """Marked for broadcast if it has at most that many rows and bytes; the check reads no more than rows + 1 of them."""
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= megabytes << 20 else df
 
 
 def meet(queries: DataFrame, items: DataFrame, buckets: int | None = None) -> DataFrame:
