@@ -106,20 +106,29 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("name").join(parts, "name", "left").select("name", F.coalesce("component", "name").alias("community"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """name, community by label propagation: each node takes the label of most weight around it (its own included), the smaller on ties.
 
+    Rounds go on until no label changes; where two states follow each other in turn, each node has the smaller of its two labels.
     Labels are written out after each round; sums are partial before the shuffle, so a hub's edges never meet in one task.
     """
     sides = [edges.select(F.col(a).alias("name"), F.col(b).alias("to"), F.coalesce("confidence", F.lit(0.5)).alias("w")) for a, b in (("source", "target"), ("target", "source"))]
     both = materialise(sides[0].unionByName(sides[1]).where("name <> to"), "both-ways")
     labels = materialise(nodes.select("name", F.col("name").alias("community")), "labels")
-    for _ in range(rounds):
+    mark = lambda df: tuple(df.agg(F.sum(F.xxhash64("name", "community") % 1_000_003), F.bit_xor(F.xxhash64("name", "community"))).first())
+    before, seen = None, [mark(labels)]
+    for _ in range(most_rounds):
         votes = both.join(labels.withColumnRenamed("name", "to"), "to").select("name", "community", "w").unionByName(labels.withColumn("w", F.lit(0.5)))
         sums = votes.groupBy("name", "community").agg(F.round(F.sum("w"), 9).alias("w"))
         best = sums.groupBy("name").agg(F.max("w").alias("w")).join(sums, ["name", "w"]).groupBy("name").agg(F.min("community").alias("community"))
-        labels = materialise(best, "labels")
-    return labels
+        before, labels = labels, materialise(best, "labels")
+        seen.append(mark(labels))
+        if seen[-1] == seen[-2]:
+            return labels
+        if len(seen) > 2 and seen[-1] == seen[-3]:
+            other = before.select("name", F.col("community").alias("other"))
+            return labels.join(other, "name").select("name", F.least("community", "other").alias("community"))
+    raise RuntimeError("labels did not settle")
 
 
 def community_context(members: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, most_entities: int = 20, most_edges: int = 20, most_chunks: int = 5) -> DataFrame:

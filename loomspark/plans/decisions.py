@@ -9,7 +9,8 @@ from ..functions import fixed
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import decisions as D
-from ..session import table
+from ..operators.joins import looked_up
+from ..session import materialise, table
 from .registry import query
 from .retrieval import DENSE, dense, fused, vectors
 
@@ -106,14 +107,17 @@ def reflection_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "r.relevance", "r.support", "r.usefulness", "r.citations", F.round("r.average", 9).alias("average"), "r.passed", "r.action", F.size("r.unsupported").alias("n_unsupported"))
 
 
-@query("""WITH d AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text FROM conversations WHERE turn < 3 AND (conv_id + turn) % 4 <> 0),
-c AS (SELECT conv_id, max(n) AS n FROM d GROUP BY conv_id), p AS (SELECT conv_id, least(greatest(1 + conv_id % 3, 1), n) AS pick FROM c)
-SELECT CAST(a.conv_id AS VARCHAR) AS query_id, coalesce(d.text, 'Unable to generate a response.') AS answer, CASE d.turn WHEN 0 THEN 'step_by_step' WHEN 1 THEN 'evidence_first' WHEN 2 THEN 'contrarian_check' END AS strategy
-FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn < 3) a LEFT JOIN p USING (conv_id) LEFT JOIN d ON d.conv_id = a.conv_id AND d.n = pick""")
+@query("""WITH a AS (SELECT conv_id, turn // 3 AS part, turn % 3 AS turn, text, (conv_id + turn) % 4 = 0 AS failed FROM conversations),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn) AS n FROM a WHERE NOT failed),
+c AS (SELECT conv_id, part, max(n) AS n FROM d GROUP BY conv_id, part), p AS (SELECT conv_id, part, least(greatest(1 + conv_id % 3, 1), n) AS pick FROM c)
+SELECT a.conv_id || '-' || a.part AS query_id, coalesce(d.text, 'Unable to generate a response.') AS answer, CASE d.turn WHEN 0 THEN 'step_by_step' WHEN 1 THEN 'evidence_first' WHEN 2 THEN 'contrarian_check' END AS strategy
+FROM (SELECT DISTINCT conv_id, part FROM a) a LEFT JOIN p USING (conv_id, part) LEFT JOIN d ON d.conv_id = a.conv_id AND d.part = a.part AND d.n = pick""")
 def draft_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three turns of a conversation as drafts, some failed; the judge picks number 1 + conv_id % 3 of those that are left."""
-    names = F.element_at(F.array(*map(F.lit, fixed.DRAFT_STRATEGIES)), (F.col("turn") + 1).cast("int"))
-    t = table(spark, sf_dir, "conversations").where("turn < 3").select(F.col("conv_id").cast("string").alias("query_id"), "conv_id", F.col("turn").cast("int").alias("draft_no"), names.alias("strategy"), F.col("text").alias("answer"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("failed"))
+    """Each three turns of a conversation as drafts of one question, some failed; the judge picks number 1 + conv_id % 3 of those that are left."""
+    no = (F.col("turn") % 3).cast("int")
+    names = F.element_at(F.array(*map(F.lit, fixed.DRAFT_STRATEGIES)), no + 1)
+    asked = F.concat_ws("-", F.col("conv_id").cast("string"), F.floor(F.col("turn") / 3).cast("string"))
+    t = table(spark, sf_dir, "conversations").select(asked.alias("query_id"), "conv_id", no.alias("draft_no"), names.alias("strategy"), F.col("text").alias("answer"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("failed"))
     judged = t.select("query_id", (1 + F.col("conv_id") % 3).cast("int").alias("selected")).distinct()
     return D.verified(t.drop("conv_id"), judged)
 
@@ -191,7 +195,8 @@ def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source references of the fused results as JSON, scores to three places, snippets of 200 characters."""
-    r = fused(spark, sf_dir).withColumn("source", F.lit(None).cast("string"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    r = looked_up(materialise(fused(spark, sf_dir).drop("text"), "fused"), texts, "doc_id").withColumn("source", F.lit(None).cast("string"))
     d = D.sources(r)
     short = F.transform("sources", lambda s: F.struct(s["doc_id"].alias("doc_id"), F.substring(s["text_snippet"], 1, 200).alias("text_snippet"), s["source"].alias("source"), F.round(s["relevance_score"], 3).alias("relevance_score"), s["channel"].alias("channel")))
     return d.select("query_id", F.to_json(F.struct("query_id", short.alias("sources"))).alias("response"))

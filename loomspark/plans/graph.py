@@ -95,7 +95,7 @@ def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT name, min(name) OVER (PARTITION BY r) AS community FROM m UNION ALL SELECT 'Part#' || p_partkey, 'Part#' || p_partkey FROM part""")
 def communities_cc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components without the edges to parts: a community a region, and each part alone."""
-    return G.communities(nodes(spark, sf_dir), edges(spark, sf_dir, parts=False))
+    return G.communities(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
 @query("SELECT n_name AS asked, r_name AS community, 'All about ' || r_name AS summary FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -103,7 +103,7 @@ def community_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The community and summary of nations, asked for in lower case; a community is called by its smallest name among regions and nations."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     names = r.select(F.col("r_name").alias("name")).unionByName(n.select(F.col("n_name").alias("name")))
-    places = edges(spark, sf_dir, parts=False).where("relation_type = 'PART_OF'")
+    places = edges(spark, sf_dir).where("relation_type = 'PART_OF'")
     members = G.communities(names, places)
     summaries = members.join(r.select(F.col("r_name").alias("name")), "name").select("community", F.col("name").alias("region"), F.concat(F.lit("All about "), "name").alias("summary"))
     asked = n.select(F.lower("n_name").alias("key"), F.col("n_name").alias("asked"))
@@ -184,7 +184,7 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.fuzzy_match(n, asked.withColumn("query_id", F.lit(1))).select("entity", "name", F.round("score", 9).alias("score"), "rank")
 
 
-_NEAR = """both_ways AS (SELECT source AS a, target AS b FROM place UNION SELECT target, source FROM place),
+_NEAR = """both_ways AS (SELECT source AS a, target AS b FROM edges WHERE confidence >= 0.5 UNION SELECT target, source FROM edges WHERE confidence >= 0.5),
 h1 AS (SELECT DISTINCT start, b AS node FROM starts JOIN both_ways ON start = a WHERE b <> start), h2 AS (SELECT DISTINCT start, b AS node FROM h1 JOIN both_ways ON node = a WHERE b <> start),
 near AS (SELECT start, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY start, node)"""
 
@@ -193,7 +193,7 @@ near AS (SELECT start, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM
 SELECT start, node, chunk AS chunk_id, 1.0 / (1.0 + depth * 0.5) AS score FROM near JOIN nodes ON node = name""")
 def graph_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = table(spark, sf_dir, "region").select(F.col("r_name").alias("start"))
-    near = G.neighbours(edges(spark, sf_dir, parts=False), starts)
+    near = G.neighbours(edges(spark, sf_dir), starts)
     return G.graph_walk(near, G.chunk_entities(nodes(spark, sf_dir))).select("start", "node", "chunk_id", "score")
 
 
@@ -206,36 +206,37 @@ context AS (SELECT start, count(*) AS num_edges, 'Entity: ' || start || ' (' ||
 @query(f"WITH {GRAPH}, starts AS (SELECT r_name AS start FROM region UNION ALL SELECT n_name FROM nation), {_CONTEXT} SELECT start, CAST(num_edges AS INTEGER) AS num_edges, text FROM context")
 def entity_edge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = table(spark, sf_dir, "region").select(F.col("r_name").alias("start")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("start")))
-    return G.edge_context(nodes(spark, sf_dir), edges(spark, sf_dir, parts=False), starts)
+    return G.edge_context(nodes(spark, sf_dir), edges(spark, sf_dir), starts)
 
 
 @query(f"""WITH {GRAPH},
 q AS (SELECT 'q' || r_regionkey AS query_id, lower(r_name) AS q FROM region UNION ALL SELECT 'n' || n_nationkey, lower(n_name) FROM nation),
-small AS (SELECT name, ord, lower(name) AS n FROM nodes WHERE entity_type IN ('REGION', 'NATION', 'SUPPLIER')),
+low AS (SELECT name, ord, lower(name) AS n FROM nodes),
 m AS (SELECT query_id, name AS start, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS r FROM
   (SELECT query_id, name, ord, CASE WHEN n = q THEN 1.0 WHEN contains(n, q) OR contains(q, n) THEN 0.8
-    ELSE len(list_intersect(string_split(q, ' '), string_split(n, ' '))) / CAST(len(list_distinct(list_concat(string_split(q, ' '), string_split(n, ' ')))) AS DOUBLE) END AS score FROM q, small) WHERE score > 0.3),
+    ELSE len(list_intersect(string_split(q, ' '), string_split(n, ' '))) / CAST(len(list_distinct(list_concat(string_split(q, ' '), string_split(n, ' ')))) AS DOUBLE) END AS score FROM q, low) WHERE score > 0.3),
 matched AS (SELECT DISTINCT query_id, start FROM m WHERE r <= 3), starts AS (SELECT DISTINCT start FROM matched),
 {_NEAR}, {_CONTEXT},
 hits AS (
-  SELECT start, chunk AS doc_id, max(1.0 / (1.0 + depth * 0.5)) AS score, any_value(d.text) AS text, 'graph_walk' AS source_type FROM near JOIN nodes ON node = name JOIN documents d ON CAST(d.doc_id AS VARCHAR) = chunk WHERE entity_type <> 'CUSTOMER' GROUP BY start, chunk
+  SELECT start, chunk AS doc_id, max(1.0 / (1.0 + depth * 0.5)) AS score, any_value(d.text) AS text, 'graph_walk' AS source_type FROM near JOIN nodes ON node = name JOIN documents d ON CAST(d.doc_id AS VARCHAR) = chunk GROUP BY start, chunk
   UNION ALL SELECT r_name, 'community_' || r_name, 0.85, 'All about ' || r_name, 'community_summary' FROM region
   UNION ALL SELECT start, 'entity_' || start, 0.75, text, 'entity_context' FROM context),
 best AS (SELECT query_id, unnest(arg_max(struct_pack(doc_id := doc_id, score := score, source_type := source_type), struct_pack(score := score, doc_id := doc_id)))
   FROM matched JOIN hits USING (start) GROUP BY query_id, CASE WHEN source_type = 'graph_walk' THEN doc_id ELSE left(text, 100) END)
 SELECT query_id, doc_id, score, source_type, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM best) WHERE rank <= 15""")
 def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole channel for regions and nations asked by name, over the graph of regions, nations, suppliers and customers (whose chunks are not in the corpus)."""
+    """The whole channel for regions and nations asked by name, over the whole graph."""
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     asked = r.select(F.concat(F.lit("q"), "r_regionkey").alias("query_id"), F.lower("r_name").alias("entity")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("query_id"), F.lower("n_name").alias("entity")))
-    named = nodes(spark, sf_dir, parts=False).where("entity_type <> 'CUSTOMER'")
+    named = nodes(spark, sf_dir)
     told = r.select(F.col("r_name").alias("name"), F.col("r_name").alias("community"), F.concat(F.lit("All about "), "r_name").alias("summary"))
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    return G.graph_channel(asked, named, edges(spark, sf_dir, parts=False), told, chunks).select("query_id", "doc_id", "score", "source_type", "rank")
+    return G.graph_channel(asked, named, edges(spark, sf_dir), told, chunks).select("query_id", "doc_id", "score", "source_type", "rank")
 
 
 @query(f"""WITH {GRAPH}, members AS (SELECT r_name AS name, r_name AS community FROM region UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT s_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  UNION ALL SELECT s_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT c_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 e AS (SELECT community, name, '- ' || name || ' (' || entity_type || '): ' || description AS line, row_number() OVER (PARTITION BY community ORDER BY name) AS k FROM members JOIN nodes USING (name)),
 i AS (SELECT a.community, '- ' || source || ' --[' || relation_type || ']--> ' || target || ': ' || description AS line FROM place JOIN members a ON a.name = source JOIN members b ON b.name = target AND a.community = b.community),
 ir AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY line) AS k FROM i),
@@ -248,8 +249,9 @@ def community_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     members = t("region").select(F.col("r_name").alias("name"), F.col("r_name").alias("community")).unionByName(n.select(F.col("n_name").alias("name"), F.col("r_name").alias("community")))
-    members = members.unionByName(t("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), F.col("r_name").alias("community")))
-    ordered = edges(spark, sf_dir, parts=False).withColumn("ord", F.concat("source", F.lit(" --["), "relation_type", F.lit("]--> "), "target"))
+    for name, key, label in (("supplier", "s_nationkey", "s_name"), ("customer", "c_nationkey", "c_name")):
+        members = members.unionByName(t(name).join(n, F.col(key) == F.col("n_nationkey")).select(F.col(label).alias("name"), F.col("r_name").alias("community")))
+    ordered = edges(spark, sf_dir).withColumn("ord", F.concat("source", F.lit(" --["), "relation_type", F.lit("]--> "), "target"))
     chunks = t("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
     return G.community_context(members, nodes(spark, sf_dir), ordered, chunks)
 
@@ -272,4 +274,4 @@ def graph_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = t("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     have = s.select(F.col("s_name").alias("doc_id"), F.explode(F.array("s_name", "n_name")).alias("entity"))
     results = meet(asked.select("query_id").distinct(), have)
-    return coherence(results, asked, edges(spark, sf_dir, parts=False)).withColumn("coherence", F.round("coherence", 6))
+    return coherence(results, asked, edges(spark, sf_dir)).withColumn("coherence", F.round("coherence", 6))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import vectors as V
-from ..operators import fusion, search
-from ..session import spread, table
+from ..operators import fusion, search, tree
+from ..operators.joins import looked_up
+from ..session import materialise, spread, table
 from .registry import query
 
 STEP = 50
@@ -100,34 +101,26 @@ def hyde_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four channels for the vector queries: dense, BM25 over the benchmark items, and two stand-ins: good documents, long documents.
-
-    A stand-in serves each query the documents whose number leaves the same remainder by 7."""
-    ids = vector_queries(spark, sf_dir).select("query_id", ((F.col("query_id").cast("long") / STEP).cast("long") % 7).alias("rest"))
-    docs = corpus(spark, sf_dir)
-    vec = dense(spark, sf_dir).join(docs, "doc_id", "left").select("query_id", F.lit("vector").alias("channel"), "doc_id", "rank", "score", "text")
-    sparse = search.bm25_topk(docs, text_queries(spark, sf_dir)).join(ids.select("query_id"), "query_id", "left_semi").join(docs, "doc_id").select("query_id", F.lit("bm25").alias("channel"), "doc_id", "rank", "score", "text")
-    numbered = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 7).alias("rest"), F.length("text").alias("n"))
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").join(numbered, "doc_id")
-
-    def stand_in(df: DataFrame, name: str, score, k: int) -> DataFrame:
-        # The best k of a remainder are the same for all its queries: cut first, join the query ids afterwards.
-        cut = search.top_k(df.select("rest", F.col("doc_id").cast("string").alias("doc_id"), score.cast("double").alias("score"), "text"), k, by="rest")
-        return cut.join(ids, "rest").select("query_id", F.lit(name).alias("channel"), "doc_id", "rank", "score", "text")
-
-    return vec.unionByName(sparse).unionByName(stand_in(good, "graph", F.lit(0.5), 15)).unionByName(stand_in(numbered, "tree", F.col("n"), 10))
+    """Four channels for the vector queries, without texts: dense, BM25 over the benchmark items, and two that stand for graph and tree: what is near the next vector, and the tree of leveled vectors."""
+    asked = vector_queries(spark, sf_dir)
+    sparse = search.bm25_topk(corpus(spark, sf_dir), text_queries(spark, sf_dir)).join(asked.select("query_id"), "query_id", "left_semi")
+    leveled = vectors(spark, sf_dir).select(F.col("doc_id").alias("node_id"), (F.col("label") % 3).alias("level"), "embedding")
+    found = {"vector": dense(spark, sf_dir), "bm25": sparse, "graph": dense(spark, sf_dir, 1, 15), "tree": tree.tree_topk(leveled, asked, max_level=2)}
+    parts = [df.select("query_id", F.lit(name).alias("channel"), "doc_id", "rank", "score", F.lit(None).cast("string").alias("text")) for name, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 _CHANNELS = f"""{DENSE}, {_BM25},
-ids AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, (vec_id // 50) % 7 AS rest FROM embeddings WHERE vec_id % 50 = 0),
+ids AS (SELECT CAST(vec_id AS VARCHAR) AS query_id FROM embeddings WHERE vec_id % 50 = 0),
 texts AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents),
-good AS (SELECT rest, doc_id, 0.5 AS score, row_number() OVER (PARTITION BY rest ORDER BY doc_id) AS rank FROM (SELECT doc_id % 7 AS rest, CAST(doc_id AS VARCHAR) AS doc_id FROM labels JOIN documents USING (doc_id) WHERE quality = 1)),
-long AS (SELECT rest, doc_id, score, row_number() OVER (PARTITION BY rest ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id % 7 AS rest, CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(text) AS DOUBLE) AS score FROM documents)),
+{dense_sql("near_next", 1, 15)},
+leveled AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, v.doc_id, list_sum(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i])) * (1.0::DOUBLE - 0.1::DOUBLE * abs(v.label % 3 - 1.0::DOUBLE) / 2) AS score FROM v q, v WHERE q.vec_id % 50 = 0),
+tree AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM leveled),
 hits AS (
   SELECT query_id, 'vector' AS channel, doc_id, rank, score FROM dense UNION ALL
   SELECT query_id, 'bm25', doc_id, rank, score FROM bm25 SEMI JOIN ids USING (query_id) UNION ALL
-  SELECT query_id, 'graph', doc_id, rank, score FROM good JOIN ids USING (rest) WHERE rank <= 15 UNION ALL
-  SELECT query_id, 'tree', doc_id, rank, score FROM long JOIN ids USING (rest) WHERE rank <= 10),
+  SELECT query_id, 'graph', doc_id, rank, score FROM near_next UNION ALL
+  SELECT query_id, 'tree', doc_id, rank, score FROM tree WHERE rank <= 10),
 w(channel, weight, o) AS (VALUES ('vector', 0.30, 0), ('bm25', 0.15, 1), ('graph', 0.30, 2), ('tree', 0.25, 3)),
 f AS (
   SELECT query_id, doc_id, round(sum(CAST(weight AS DOUBLE) / (60 + rank)), 12) AS fused, min(o * 1000000 + rank) AS first_seen, arg_max(channel, score) AS primary_channel,
@@ -144,7 +137,8 @@ def fused(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
   CAST(graph_rank AS INTEGER) AS graph_rank, CAST(tree_rank AS INTEGER) AS tree_rank, text FROM fused LEFT JOIN texts USING (doc_id)""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = [F.element_at("channel_ranks", c).alias(f"{c}_rank") for c in fusion.CHANNELS]
-    return fused(spark, sf_dir).select("query_id", "rank", "doc_id", F.round("fused_score", 9).alias("fused_score"), *ranks, "text")
+    best = materialise(fused(spark, sf_dir).select("query_id", "rank", "doc_id", F.round("fused_score", 9).alias("fused_score"), *ranks), "fused")
+    return looked_up(best, table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id")
 
 
 @query(f"WITH {_CHANNELS} SELECT query_id, channel, count(*) AS n FROM fused JOIN hits USING (query_id, doc_id) GROUP BY ALL")

@@ -31,6 +31,8 @@ def test_scan_query_and_explain(spark, tmp_path):
     assert got["3"].confidence == 0
     log = again.explain(got["3"].trace_id).collect()
     assert {r.event for r in log} == {"query", "security", "response"}
+    assert {r.event for r in again.explain(got["1"].trace_id).collect()} == {"query", "retrieval", "generation", "response"}
+    assert got["1"].channels and set(got["1"].channels) <= {"vector", "bm25", "graph", "tree"}
 
 
 def test_one_file(spark, tmp_path):
