@@ -1,15 +1,17 @@
 """Operator 8: secret scans by base patterns and grammar inference.
 
 Three base patterns (assign, access, hex) are found exactly as stated. Automata for credential formats are inferred from
-labelled credentials: a prefix tree of their symbols (the first characters as they are, later ones by class) whose
-statistically compatible states are merged (ALERGIA, Hoeffding bound). Tokens of 20 characters or more (no format is shorter)
-are scored by their likelihood under the automaton against ordinary tokens, from every place in a run of token characters where
-a letter or digit follows none; what the automaton leaves within its literal beginning is of no format. Tokens that score above
-every ordinary one of the training set are added as spans of kind `grammar`: up to the last end that the automaton reaches if that
-scores enough, else up to the end of the best sum. Base spans always stay, and an added span never overlaps one.
+labelled credentials: a prefix tree of their symbols (a leading word or two with their separators as one symbol, then every character
+by class) whose statistically compatible states are merged (ALERGIA, Hoeffding bound), wherever in the tree they stand. A second
+automaton is inferred likewise from ordinary long tokens. Tokens of `SHORTEST` characters or more are scored by their likelihood
+under the first against the second, from every place in a run of token characters where a letter or digit follows none. Tokens that
+score above every ordinary one of the training set are added as spans of kind `grammar`: up to the last end that the automaton
+reaches if that scores enough, else up to the end of the best sum. As no character is known by itself, formats that no label showed
+are found too. Base spans always stay, whatever their score, and an added span never overlaps one; `score` tells the best score of a
+text's spans.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned once each; a null doc_id is passed on; an empty
-table gives no rows; further columns are ignored.
+table gives no rows; further columns are ignored; a text without spans has a null score.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
 _START = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]")
 _END = re.compile(r"(?<![.=-])(?![A-Za-z0-9])")
 _WORDS = ("passw", "secret", "token", "api")
-LITERAL, SHORTEST = 4, 20
+SHORTEST, BODY = 20, 16
+#: A leading word or more with their separators, such as "ghp_" or "sk_live_": one symbol if a body follows.
+_LEAD = re.compile(r"[A-Za-z]{2,8}(?:[_-][A-Za-z]{2,6})*[_-]|[A-Z]{2}\.")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -55,9 +59,16 @@ def kind(c: str) -> str:
     return "9" if c.isdigit() else "h" if c in "abcdef" else "a" if c.islower() else "H" if c in "ABCDEF" else "A" if c.isupper() else c
 
 
+def lead(text: str, a: int, hi: int) -> int:
+    """Where the body begins, behind a leading word if that leaves one."""
+    m = _LEAD.match(text, a, hi)
+    return m.end() if m and hi - m.end() >= BODY else a
+
+
 def symbols(token: str) -> list[str]:
-    """The first characters as they are, then classes: hexadecimal letters apart from other letters."""
-    return list(token[:LITERAL]) + [kind(c) for c in token[LITERAL:]]
+    """The leading words as one symbol, then classes: hexadecimal letters apart from other letters."""
+    at = lead(token, 0, len(token))
+    return (["^"] if at else []) + [kind(c) for c in token[at:]]
 
 
 class Automaton:
@@ -112,19 +123,16 @@ class Automaton:
                 self.next[a][c] = to
 
     def _merge_all(self, alpha: float) -> None:
-        red, parent = [0], {}
+        red = [0]
         blue = [(0, c) for c in sorted(self.next[0])]
         while blue:
             p, c = blue.pop(0)
             q = self.next[p][c]
             if q in red:
                 continue
-            # The literal beginning keeps its states apart.
-            depth = parent.get(p, 0) + 1
-            home = next((r for r in red if parent.get(r, 0) >= LITERAL and depth > LITERAL and self._compatible(r, q, alpha)), None)
+            home = next((r for r in red if self._compatible(r, q, alpha)), None)
             if home is None:
                 red.append(q)
-                parent[q] = depth
                 blue += [(q, s) for s in sorted(self.next[q])]
             else:
                 self.next[p][c] = home
@@ -144,16 +152,6 @@ class Automaton:
         self.next = [{c: new[to] for c, to in self.next[q].items()} for q in seen]
         self.count, self.ends = [self.count[q] for q in seen], [self.ends[q] for q in seen]
 
-    def log_likelihood(self, s: list[str]) -> float:
-        """Per symbol, with a little mass for what a state has never seen."""
-        at, total = 0, 0.0
-        for c in s:
-            n = self._total(at) if at is not None else 0
-            seen = self.count[at][c] if at is not None else 0
-            total += math.log((seen + 0.02) / (n + 2.0))
-            at = self.next[at].get(c) if at is not None else None
-        return total / max(1, len(s))
-
 
 def labelled(seed: int = 11, each: int = 120) -> tuple[list[str], list[str]]:
     """Credentials of public formats, and ordinary long tokens."""
@@ -167,40 +165,48 @@ def labelled(seed: int = 11, each: int = 120) -> tuple[list[str], list[str]]:
         lambda: "SG." + some(every, 22) + "." + some(every, 43), lambda: "eyJhbGciOi" + some(every, 26) + "." + some(every, 40) + "." + some(every, 43),
     ]
     word = lambda: some("aeioustrnlmdh", r.randint(3, 9))
+    # Words of any length in lower case, upper case, capitals or compounds.
+    short = lambda: some("aeioustrnlmdh", r.randint(1, 9))
+    styled = lambda: r.choice([short, short, lambda: short().upper(), lambda: short().capitalize(), lambda: short() + short().capitalize() + short().capitalize()])()
     plain = [
         lambda: "-".join(word() for _ in range(5)) + some(dig, 2), lambda: "/" + "/".join(word() for _ in range(4)) + "/" + some(dig, 4), lambda: word() + "." + word() + "." + word() + some(dig, 4) + word(),
         lambda: word().upper() + "_" + word().upper() + "_" + word().upper() + some(dig, 3), lambda: word() + word() + word() + word() + some(dig, 1), lambda: some(dig, 22) + some(low, 1),
         lambda: "".join(word().capitalize() for _ in range(4)) + some(dig, 2), lambda: some(dig, 4) + "-" + some(dig, 2) + "-" + some(dig, 2) + "T" + some(dig, 2) + some(dig, 10),
+        lambda: "-".join(styled() for _ in range(5)), lambda: "/".join(styled() for _ in range(5)), lambda: "_".join(styled() for _ in range(4)) + ".py",
     ]
     return [m() for m in makers for _ in range(each)], [x for m in plain for _ in range(each) if len(x := m()) >= 20]
 
 
 class Grammar:
     def __init__(self, positive: list[str], negative: list[str]):
-        self.automaton = Automaton([symbols(x) for x in positive])
-        seen = Counter(c for x in negative for c in symbols(x))
-        n = sum(seen.values())
-        self.plain = {c: math.log((k + 0.5) / (n + 50)) for c, k in seen.items()}
-        self.other = math.log(0.5 / (n + 50))
+        self.formats, self.plain = Automaton([symbols(x) for x in positive]), Automaton([symbols(x) for x in negative])
+        self.limit = 0.0
+        self.steps: dict[tuple, tuple] = {}
         good, bad = sorted(map(self.score, positive)), sorted(map(self.score, negative))
-        self.limit = max(bad[-1] + 0.1, good[len(good) // 50] - 0.3)
-        self.steps: dict[tuple[int | None, str], tuple[int | None, float]] = {}
+        self.limit = max(bad[-1] + 0.05, good[len(good) // 50] - 0.1)
+        self.steps = {}
 
     def score(self, token: str) -> float:
-        """Log likelihood per symbol under the formats, less that of ordinary tokens."""
-        s = symbols(token)
-        return self.automaton.log_likelihood(s) - sum(self.plain.get(c, self.other) for c in s) / max(1, len(s))
+        """Log likelihood per symbol under the formats, less that under ordinary tokens."""
+        q, total, s = (0, 0), 0.0, symbols(token)
+        for c in s:
+            q, more = self._step(q, c)
+            total += more + self.limit
+        return total / max(1, len(s))
 
-    def _step(self, q: int | None, c: str) -> tuple[int | None, float]:
-        """The next state, and by how much the symbol's score exceeds the limit."""
+    def _step(self, q: tuple, c: str) -> tuple[tuple, float]:
+        """The next states of both automata, and by how much the symbol's score exceeds the limit."""
         if (q, c) not in self.steps:
-            a = self.automaton
-            n, seen = (0, 0) if q is None else (a._total(q), a.count[q][c])
-            self.steps[q, c] = (None if q is None else a.next[q].get(c), math.log((seen + 0.02) / (n + 2.0)) - self.plain.get(c, self.other) - self.limit)
+            to, odds = [], []
+            for a, at in zip((self.formats, self.plain), q, strict=True):
+                n, seen = (0, 0) if at is None else (a._total(at), a.count[at][c])
+                to.append(None if at is None else a.next[at].get(c))
+                odds.append(math.log((seen + 0.02) / (n + 2.0)) if at is not None else -4.0)
+            self.steps[q, c] = (tuple(to), odds[0] - odds[1] - self.limit)
         return self.steps[q, c]
 
-    def spans(self, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-        """Tokens within text[lo:hi], a part of one run, whose score reaches the limit.
+    def spans(self, text: str, lo: int, hi: int) -> list[tuple[int, int, float]]:
+        """Tokens within text[lo:hi], a part of one run, whose score reaches the limit, with it.
 
         What follows a place in a state does not depend on where the token began, so it is worked out once: time is linear in the run.
         """
@@ -209,20 +215,23 @@ class Grammar:
             a = m.start()
             if a < at or hi - a < SHORTEST:
                 continue
-            q, head = 0, 0.0
-            for p in range(a, a + SHORTEST):
-                q, more = self._step(q, text[p] if p < a + LITERAL else kind(text[p]))
+            body = lead(text, a, hi)
+            q, head = self._step((0, 0), "^") if body > a else ((0, 0), 0.0)
+            first = max(body + BODY, a + SHORTEST)
+            for p in range(body, first):
+                q, more = self._step(q, kind(text[p]))
                 head += more
-                if q is None and p < a + LITERAL:
+                if q[0] is None:
                     break
             else:
-                reached, r, best, b = self._rest(text, a + SHORTEST, hi, q, known)
-                at = reached if head + r >= 0 else best if head + b >= 0 else at
-                if at > a:
-                    out.append((a, at))
+                reached, r, best, b = self._rest(text, first, hi, q, known)
+                end, total = (reached, head + r) if head + r >= 0 else (best, head + b) if head + b >= 0 else (at, 0.0)
+                if end > a:
+                    at = end
+                    out.append((a, at, total / (at - body + (body > a)) + self.limit))
         return out
 
-    def _rest(self, text: str, p: int, hi: int, q: int | None, known: dict) -> tuple[int, float, int, float]:
+    def _rest(self, text: str, p: int, hi: int, q: tuple, known: dict) -> tuple[int, float, int, float]:
         """From a place and state on: the last end that the automaton reaches and the excess up to it, the end of the most excess and that."""
         path = []
         while (p, q) not in known:
@@ -238,7 +247,7 @@ class Grammar:
             if more:
                 r, b = r + more[0], b + more[0]
             if _END.match(text, p):
-                if not reached and q is not None:
+                if not reached and q[0] is not None:
                     reached, r = p, 0.0
                 if b < 0:
                     best, b = p, 0.0
@@ -251,10 +260,10 @@ def fitted() -> Grammar:
     return Grammar(*labelled())
 
 
-def find(text: str | None, grammar: Grammar) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans and added spans of a whole text."""
+def scored(text: str | None, grammar: Grammar) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], float | None]:
+    """Base spans and added spans of a whole text, and the best score of any of them."""
     if not text:
-        return [], []
+        return [], [], None
     base, more = base_spans(text), []
     starts, ends = [], []
     for a, b in sorted((a, b) for _, a, b in base):
@@ -266,7 +275,13 @@ def find(text: str | None, grammar: Grammar) -> tuple[list[tuple[str, int, int]]
             more += grammar.spans(text, lo, starts[i])
             lo, i = max(lo, ends[i]), i + 1
         more += grammar.spans(text, lo, m.end())
-    return base, [("grammar", a, b) for a, b in more]
+    best = max([x[2] for x in more] + [grammar.score(text[a:b]) for _, a, b in base], default=None)
+    return base, [("grammar", a, b) for a, b, _ in more], best
+
+
+def find(text: str | None, grammar: Grammar) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans and added spans of a whole text."""
+    return scored(text, grammar)[:2]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -276,18 +291,19 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def _scan(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [find(t, grammar) for t in b.column(1).to_pylist()]
-            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
-            sha = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
-            spans = [_joined(base + more) for base, more in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            found = [scored(t, grammar) for t in b.column(1).to_pylist()]
+            counts = [pa.array([sum(s[0] == k for s in base) for base, _, _ in found], pa.int64()) for k in KINDS]
+            sha = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _, _ in found]
+            spans = [_joined(base + more) for base, more, _ in found]
+            best = [x for _, _, x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(best, pa.float64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "score"])
 
     return run
 
 
 def secrets(documents: DataFrame, grammar: Grammar | None = None) -> DataFrame:
     """Per row of documents (doc_id, text): counts of base spans, their digest, and all spans."""
-    return documents.select("doc_id", "text").mapInArrow(_scan(grammar or fitted()), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return documents.select("doc_id", "text").mapInArrow(_scan(grammar or fitted()), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, score double")
 
 
 def redact(text: str | None, grammar: Grammar, mark: str = "[SECRET]") -> str | None:

@@ -1,6 +1,8 @@
 """Operators 6 and 8: the base patterns against their plain regular expressions, the added spans on planted cases."""
 
 import hashlib
+import pathlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -105,3 +107,21 @@ def test_redaction_masks_every_secret(edge_documents):
     assert secretscan.secrets(edge_documents).count() == edge_documents.count()
     out = edge_documents.withColumn("text", secretscan.redacted(edge_documents.text))
     assert out.where("doc_id = 2 and text is null").count() == 1
+
+
+def test_formats_that_no_label_showed():
+    """Recall on whole formats held out of the labels, and nothing found in prose, code and ordinary long tokens."""
+    r = random.Random(99)
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    every, grammar = low + up + dig, secretscan.fitted()
+    held_out = {
+        "npm_": (36, every), "github_pat_": (59, every), "sk-": (48, every), "pk_live_": (24, every), "sk_test_": (24, every), "hf_": (34, every), "ASIA": (16, up + "234567"), "xoxp-": (40, every), "gho_": (36, every),
+    }
+    for start, (n, alphabet) in held_out.items():
+        tokens = [start + some(alphabet, n) for _ in range(200)]
+        assert sum(bool(secretscan.find(f"key {t} here", grammar)[1]) for t in tokens) >= 180, start
+    text = pathlib.Path(secretscan.__file__).read_text()
+    words = re.findall(r"[A-Za-z]+", text)
+    assert not secretscan.find(" ".join(words), grammar)[1]
+    assert not secretscan.find(" ".join("-".join(r.choices(words, k=5)) + " /" + "/".join(r.choices(words, k=5)) for _ in range(400)), grammar)[1]
