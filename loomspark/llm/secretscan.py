@@ -183,7 +183,8 @@ class Grammar:
         self.limit = 0.0
         self.steps: dict[tuple, tuple] = {}
         good, bad = sorted(map(self.score, positive)), sorted(map(self.score, negative))
-        self.limit = max(bad[-1] + 0.05, good[len(good) // 50] - 0.1)
+        # Half-way between the best ordinary token and all but the last fiftieth of the labelled credentials.
+        self.limit = max(bad[-1] + 0.05, (bad[-1] + good[len(good) // 50]) / 2)
         self.steps = {}
 
     def score(self, token: str) -> float:
