@@ -30,6 +30,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 # Values in quotes may hold ">"; a tag whose quotes do not close ends at the first one.
 _TAG = r"""(?is)<(?:link|meta|base)\b(?:(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+>|[^>]*+>)"""
+# What a browser takes for no markup: comments, and elements whose content is text.
+_NO_MARKUP = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{name}\b.*?(?:</{name}\b[^>]*+>|\z)" for name in ("script", "style", "template", "textarea", "title", "xmp", "iframe", "noframes"))
 _ATTRIBUTE = r"""(?is)^<\w++(?:[^\s"'>]++|\s++|"[^"]*+"|'[^']*+'|["'])*?(?<=[\s"'/])%s\s*+=\s*+("[^"]*+"|'[^']*+'|["']?[^\s"'>]++)"""
 _REFERENCE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=;]))|[^&]+|&"
 _REFRESH = r"""(?is)^(?:\s*[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?|.*?\burl\s*=\s*)("[^"]*|'[^']*|[^\s"']\S*)"""
@@ -94,9 +96,9 @@ def resolved(base: Column, target: Column) -> Column:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between URLs that the pages' canonical links and refreshing meta elements state, all of them, relative ones as the page means them."""
+    """Edges (a, b) between URLs that the pages' canonical links and refreshing meta elements state, all of them, relative ones as the page means them; comments and scripts state none."""
     likely = pages.where("url is not null").where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv"))
-    tags = likely.select(F.col("url").alias("a"), F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)).alias("tags"))
+    tags = likely.select(F.col("url").alias("a"), F.regexp_extract_all(F.regexp_replace("html", _NO_MARKUP, " "), F.lit(_TAG), F.lit(0)).alias("tags"))
     of = lambda name: F.filter("tags", lambda x: F.lower(F.substring(x, 2, 4)) == name)
     links = F.transform(F.filter(of("link"), lambda x: _attribute(x, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")), lambda x: F.struct(F.lit(False).alias("refresh"), _attribute(x, "href").alias("value")))
     refreshes = F.transform(F.filter(of("meta"), lambda x: F.lower(F.trim(_attribute(x, "http-equiv"))) == "refresh"), lambda x: F.struct(F.lit(True).alias("refresh"), _attribute(x, "content").alias("value")))
@@ -140,11 +142,12 @@ WITH RECURSIVE u AS (
   SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules(action, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+tag AS (
+  SELECT url AS a, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(-->|$)|<script\b.*?(</script[^>]*>|$)|<style\b.*?(</style[^>]*>|$)|<template\b.*?(</template[^>]*>|$)|<textarea\b.*?(</textarea[^>]*>|$)|<title\b.*?(</title[^>]*>|$)', ' ', 'g'),
+    '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
 edge AS (
-  SELECT url AS a, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["''][^"''>]*url\s*=\s*([^"''\s>]+)', 1)]) AS b
-  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+  SELECT a, regexp_extract(t, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM tag WHERE regexp_matches(t, '(?is)^<link\b.*\srel\s*=\s*["'']?(?:[^"''>]*\s)?canonical\b') UNION ALL
+  SELECT a, regexp_extract(t, '(?is)\scontent\s*=\s*["''][^"''>]*url\s*=\s*([^"''\s>]+)', 1) FROM tag WHERE regexp_matches(t, '(?is)^<meta\b.*\shttp-equiv\s*=\s*["'']?refresh\b')),
 both_ways AS (SELECT a, b FROM edge WHERE contains(b, '://') UNION SELECT b, a FROM edge WHERE contains(b, '://')),
 reach AS (SELECT a AS node, b AS other FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
 nodes AS (SELECT DISTINCT other, translate(regexp_extract(other, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

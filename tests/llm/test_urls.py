@@ -1,5 +1,7 @@
 """Operator 9: rules, aliases and defined results."""
 
+import random
+
 from loomspark.llm import urlfilter
 
 ROWS = [
@@ -60,3 +62,43 @@ def test_the_plan_has_no_python(spark, capsys):
     plan = capsys.readouterr().out
     assert "Python" not in plan
     assert "Arrow" not in plan
+
+
+def test_many_linked_pages_against_breadth_first_search(spark):
+    """Chains, stars and conflicts, with links in comments and scripts that state nothing, and several links on a page."""
+    r = random.Random(7)
+    hosts = ["a.net/es", "b.org/x", "c.com/y", "d.net/de", "e.org/z"]
+    urls = [f"http://{r.choice(hosts)}/{i}" for i in range(400)]
+    links: dict[str, set[str]] = {u: set() for u in urls}
+    pages = []
+    for i, u in enumerate(urls):
+        html = ""
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            to = urls[i - 1] if i % 7 and r.random() < 0.5 else urls[i // 50 * 50] if r.random() < 0.5 else r.choice(urls)
+            form = r.randrange(5)
+            tag = f'<link rel="canonical" href="{to}">' if form % 2 else f'<meta http-equiv="refresh" content="0; url={to}">'
+            if form < 3:
+                html += tag
+                links[u].add(to)
+                links[to].add(u)
+            else:
+                html += f"<!-- {tag} -->" if form == 3 else f"<script>var x = '{tag}';</script>"
+        pages.append((i, u, f"<html><head>{html}</head></html>"))
+    own = lambda u: "block" if ".net/es/" in u else "allow" if ".com/" in u else None
+    want, seen = {}, set()
+    for u in urls:
+        if u in seen:
+            continue
+        part, queue = {u}, [u]
+        while queue:
+            for v in links[queue.pop()] - part:
+                part.add(v)
+                queue.append(v)
+        seen |= part
+        found = {own(v) for v in part}
+        for v in part:
+            want[v] = own(v) or ("block" if "block" in found and "allow" not in found else "allow")
+    assert len({want[u] for u in urls}) == 2 and any(own(u) is None and want[u] == "block" for u in urls)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.verdict for r in urlfilter.judge(df, urlfilter.RULES).collect()}
+    assert got == {i: want[u] for i, u, _ in pages}
