@@ -43,3 +43,38 @@ def test_fewer_candidates_than_k_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.25, -0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in vafile.exact_top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 1024 * 256 - 512 * 512)]
     assert vafile.exact_top_k(df.where("false"), df.where("false")).count() == 0
+
+
+def test_repeated_queries_and_large_components(spark):
+    rows = [(0, [3.0, 1.0]), (0, [-1.0, 2.0]), (1, [1.0, 1.0]), (2, [2.0, -1.0]), (2, [2.0, 5.0]), (100, [1e300, -1e9]), (3, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in vafile.exact_top_k(df, df.where("vec_id % 100 = 0")).collect())
+    cut = lambda x: max(-(1 << 28), min(1 << 28, math.floor(1024 * x)))
+    want = []
+    for q in (0, 100):
+        a = min([cut(x) for x in v] for i, v in rows if i == q)
+        scores = sorted((-sum(x * cut(y) for x, y in zip(a, v, strict=True)), i) for i, v in rows if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    assert got == want
+
+
+def test_few_exact_vectors_are_read(spark):
+    """Of unit vectors the cells leave a small part to be read exactly."""
+    r = np.random.default_rng(2)
+    v = r.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    whole = vafile._whole(df)
+    read = vafile.candidates(whole, whole.where("vec_id % 100 = 0"), 10, block=512).count()
+    assert 400 <= read <= 0.05 * 40 * 4000
+
+
+def test_bounds_hold_for_any_width():
+    r = np.random.default_rng(3)
+    for size in (1, 100, 5000, 1 << 28):
+        x, q = (r.integers(-size, size + 1, (50, 7)) for _ in range(2))
+        shift, cells = vafile.cells_of(x)
+        low, high = vafile.bounds(q, shift, cells)
+        exact = (q.astype(object) @ x.astype(object).T).astype(np.float64)
+        assert (low <= exact).all() and (exact <= high).all()
+        assert shift == 0 or np.abs(cells.astype(int)).max() > 63
