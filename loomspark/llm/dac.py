@@ -11,7 +11,7 @@ stored uncompressed. Spark's committer writes it, so lost tasks leave nothing be
 that Spark knows will do.
 
 Defined results: a null or empty text is a document of the end id alone; a null doc_id sorts first; rows that
-share a doc_id stand next to each other, ordered by text; an empty table gives no files' rows and no
+share a doc_id stand next to each other, ordered by a hash of the text; an empty table gives no files' rows and no
 result; further columns of the input are ignored.
 """
 
@@ -131,7 +131,9 @@ def _segments(path: str, end_id: int, target: int):
 def write_ids(documents: DataFrame, folder: str, vocabulary: str, end_id: int = 1, target: int = 1 << 18) -> None:
     """Encode documents (doc_id, text) and write the format above, shards and segments in ascending doc_id order."""
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = documents.select("doc_id", "text").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # The hash splits a doc_id that very many rows share.
+    order = [F.asc_nulls_first("doc_id"), "hash", "text"]
+    ordered = documents.select("doc_id", "text", F.xxhash64("text").alias("hash")).repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(_segments(vocabulary, end_id, target), FORMAT).write.option("compression", "uncompressed").parquet(folder)
 
 

@@ -5,7 +5,8 @@ and ASCII punctuation left out), as square roots of counts scaled to length one.
 against the rest, choose the language family; within it machines for each pair of languages vote.
 
 The machines are fitted on at most `per_language` labelled texts of each language and `most_rows` in all, those of the lowest
-hash of doc_id, by dual coordinate descent. Only their vectors come to the driver (16 KB each, so 160 MB however many languages there are).
+hash of doc_id, by dual coordinate descent; of more than `most_languages` labels the commonest are learned. The cut is made on the
+executors, also where many rows share a doc_id. Only the vectors come to the driver (16 KB each, so 160 MB at most).
 
 Defined results: a null text, or one without a letter, is `und` with score 0; documents without a lang are judged but not
 learned from; a null doc_id counts as not held out and is not learned from; with no labelled text everything with a letter is `und`; repeated rows are judged
@@ -15,13 +16,12 @@ once each; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -124,10 +124,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["lang", "order", "x"])
 
 
-def fit(labelled: DataFrame, per_language: int = 400, most_rows: int = 10_000) -> Model | None:
-    """A model from (doc_id, text, lang), from at most per_language texts of each language and most_rows in all."""
+def fit(labelled: DataFrame, per_language: int = 400, most_rows: int = 10_000, most_languages: int = 200) -> Model | None:
+    """A model from (doc_id, text, lang), from at most per_language texts of each language and most_rows in all, of the most_languages commonest languages."""
     labelled = labelled.where("lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    # Of different ids: many rows of one would make the share too small.
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
+    sizes = {r[0]: r[1] for r in counts.orderBy(F.desc("n"), "lang").limit(most_languages).select("lang", "ids").collect()}
     if not sizes:
         return None
     per_language = max(1, min(per_language, most_rows // len(sizes)))
@@ -135,12 +137,10 @@ def fit(labelled: DataFrame, per_language: int = 400, most_rows: int = 10_000) -
     order = F.xxhash64("doc_id")
     limit = F.create_map(*[F.lit(v) for kv in share.items() for v in kv])[F.col("lang")]
     some = labelled.where(F.pmod(order, F.lit(1_000_000)) < limit * 1_000_000)
-    rows = some.select("lang", order.alias("order"), "text").mapInArrow(_features, "lang string, order long, x binary").collect()
-    kept, seen = [], Counter()
-    for r in sorted(rows, key=lambda r: (r[1] % 1_000_000, r[1], r[0], r[2])):
-        if seen[r[0]] < per_language:
-            seen[r[0]] += 1
-            kept.append(r)
+    found = some.select("lang", order.alias("order"), "text").mapInArrow(_features, "lang string, order long, x binary")
+    first = Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1_000_000)), "order", "x")
+    kept = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("lang", "order", "x").collect()
+    kept.sort(key=lambda r: (r[1] % 1_000_000, r[1], r[0], r[2]))
     return Model(np.array([np.frombuffer(r[2], np.float32) for r in kept]), [r[0] for r in kept]) if kept else None
 
 

@@ -1,13 +1,14 @@
 """Encoding of whole texts with a public tokenizer file, by distinct chunk.
 
-The vocabulary file splits a text into letter runs, digits and punctuation runs, none of which crosses white
-space. A text can therefore be cut at ASCII white space, and between an ASCII letter or digit and punctuation
+A vocabulary file that lower-cases a text and splits it by `WORDS` makes letter runs, digits and punctuation runs, none of which
+crosses white space. The text can therefore be cut at ASCII white space, and between an ASCII letter or digit and punctuation
 other than an apostrophe, without changing its ids. Each distinct chunk is encoded once per worker and
-kept in a bounded table. Texts with "<|" may hold special tokens and are encoded in one piece.
+kept in a bounded table. Texts with "<|" may hold special tokens and are encoded in one piece, as is every text for any other kind of file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -15,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks that a worker keeps; beyond it the table starts anew.
-CHUNKS = 600_000
+#: Distinct chunks that a worker keeps, and characters of them; beyond either the table starts anew.
+CHUNKS, CHARACTERS = 300_000, 8_000_000
+#: Fixed value: the pattern by which a file must split for the chunks below to be right.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _open: dict[str, "Encoder"] = {}
 
 
@@ -37,14 +40,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        steps = (told.get("normalizer") or {}).get("normalizers", [])
+        splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_chunk = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex") == WORDS and splits[0].get("behavior") == "Removed"
         self._clear()
 
     def _clear(self) -> None:
-        self.number, self.used = _Numbers(), 0
+        self.number, self.used, self.characters = _Numbers(), 0, 0
         self.flat, self.size, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self) -> None:
         new, self.number.new = self.number.new, []
+        self.characters += sum(map(len, new))
         first, ids, owner = len(self.number) - len(new), [], []
         for b in range(0, len(new), 512):
             e = self.tokenizer.encode(new[b : b + 512], is_pretokenized=True, add_special_tokens=False)
@@ -63,12 +71,12 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (null: none), without special tokens of the library's own."""
-        whole = {i for i, t in enumerate(texts) if t and "<|" in t}
+        whole = {i for i, t in enumerate(texts) if t and ("<|" in t or not self.by_chunk)}
         plain = pa.array(["" if t is None or i in whole else re.sub(r"[\n\t\r]", " ", t) for i, t in enumerate(texts)], pa.large_string())
         plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-z0-9])([!-&(-/:-@\[-`{-~])", r"\1 \2")
         split = pc.split_pattern(plain, " ")
         coded = pc.dictionary_encode(split.values)
-        if len(self.number) > CHUNKS:
+        if len(self.number) > CHUNKS or self.characters > CHARACTERS:
             self._clear()
         words = coded.dictionary.to_pylist()
         number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))

@@ -3,12 +3,13 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from loomspark.llm import dac, packing
+from loomspark.llm import dac, packing, tokens
 from loomspark.llm.tokens import Encoder, word_vocabulary
 
 
@@ -119,3 +120,10 @@ def test_plan_places_each_piece_once(counts):
             assert offset == at
             at += length
         assert at <= 64
+
+
+def test_a_file_of_another_kind_is_encoded_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, fast = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = ["Case Matters HERE", "two  spaces\tand\nlines", None, "", "don't a.b x1"]
+    assert [x.tolist() for x in fast(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
