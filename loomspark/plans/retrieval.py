@@ -123,7 +123,7 @@ hits AS (
   SELECT query_id, 'tree', doc_id, rank, score FROM tree WHERE rank <= 10),
 w(channel, weight, o) AS (VALUES ('vector', 0.30, 0), ('bm25', 0.15, 1), ('graph', 0.30, 2), ('tree', 0.25, 3)),
 f AS (
-  SELECT query_id, doc_id, round(sum(CAST(weight AS DOUBLE) / (60 + rank)), 12) AS fused, min(o * 1000000 + rank) AS first_seen, arg_max(channel, score) AS primary_channel,
+  SELECT query_id, doc_id, round(sum(CAST(weight AS DOUBLE) / (60 + rank)), 12) AS fused, min(o * 1000000 + rank) AS first_seen, arg_max(channel, struct_pack(s := score, o := -o)) AS primary_channel,
     max(CASE WHEN channel = 'vector' THEN rank END) AS vector_rank, max(CASE WHEN channel = 'bm25' THEN rank END) AS bm25_rank, max(CASE WHEN channel = 'graph' THEN rank END) AS graph_rank, max(CASE WHEN channel = 'tree' THEN rank END) AS tree_rank
   FROM hits JOIN w USING (channel) GROUP BY ALL),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first_seen) AS rank FROM f) WHERE rank <= 10)"""
