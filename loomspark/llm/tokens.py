@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks that a worker keeps, and characters of them; beyond either the table starts anew.
-CHUNKS, CHARACTERS = 300_000, 8_000_000
+CHUNKS, CHARACTERS = 600_000, 16_000_000
 #: Fixed value: the pattern by which a file must split for the chunks below to be right.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _open: dict[str, "Encoder"] = {}
