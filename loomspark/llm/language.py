@@ -169,20 +169,24 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _accepted(model: Model | None, at: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows if model else 0, 512):
+                part = b.slice(start, 512)
+                found = [vector(t) for t in part.column(at).to_pylist()]
+                some = [v for v in found if v is not None]
+                good = iter([s >= least for _, s in model.predict(np.array(some))] if some else [])
+                yield part.filter(pa.array([v is not None and next(good) for v in found], pa.bool_()))
+
+    return run
+
+
 def accepted(documents: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text has a language: not `und`, and a score of at least `least`."""
+    """The rows, with all their columns, whose text has a language: not `und`, and a score of at least `least`.
 
-    @F.arrow_udf("boolean")
-    def keep(column: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(column), 512):
-            found = [vector(t) if model else None for t in column.slice(at, 512).to_pylist()]
-            some = [v for v in found if v is not None]
-            good = iter([s >= least for _, s in model.predict(np.array(some))] if some else [])
-            out += [v is not None and next(good) for v in found]
-        return pa.array(out, pa.bool_())
-
-    return documents.where(keep("text"))
+    Rows pass through the workers whole, 512 at a time, so that the executor keeps no queue of them beside."""
+    return documents.mapInArrow(_accepted(model, documents.columns.index("text"), least), documents.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
