@@ -3,7 +3,7 @@
 A vocabulary file that lower-cases a text and splits it by `WORDS` makes letter runs, digits and punctuation runs, none of which
 crosses white space. The text can therefore be cut at ASCII white space, and between an ASCII letter or digit and punctuation
 other than an apostrophe, without changing its ids. Each distinct chunk is encoded once per worker and
-kept in a bounded table. Texts with "<|" may hold special tokens and are encoded in one piece, as is every text for any other kind of file.
+kept in a bounded table, which a worker drops once it has been idle for a while. Texts with "<|" may hold special tokens and are encoded in one piece, as is every text for any other kind of file.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ import pyarrow.compute as pc
 
 #: Distinct chunks that a worker keeps, and characters of them; beyond either the table starts anew.
 CHUNKS, CHARACTERS = 600_000, 16_000_000
+#: Seconds without use after which a worker drops an encoder: workers outlive their stage, and what runs next needs the memory.
+IDLE = 4.0
 #: Fixed value: the pattern by which a file must split for the chunks below to be right.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _open: dict[str, "Encoder"] = {}
@@ -44,6 +48,7 @@ class Encoder:
         steps = (told.get("normalizer") or {}).get("normalizers", [])
         splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_chunk = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex") == WORDS and splits[0].get("behavior") == "Removed"
+        self.last = time.monotonic()
         self._clear()
 
     def _clear(self) -> None:
@@ -71,6 +76,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (null: none), without special tokens of the library's own."""
+        self.last = time.monotonic()
         whole = {i for i, t in enumerate(texts) if t and ("<|" in t or not self.by_chunk)}
         plain = pa.array(["" if t is None or i in whole else re.sub(r"[\n\t\r]", " ", t) for i, t in enumerate(texts)], pa.large_string())
         plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-z0-9])([!-&(-/:-@\[-`{-~])", r"\1 \2")
@@ -93,11 +99,23 @@ class Encoder:
         ]
 
 
+def _drop_when_idle(path: str) -> None:
+    """Waits until the encoder of a file is idle and lets go of it. A task that still holds it is not disturbed."""
+    while (e := _open.get(path)) and time.monotonic() - e.last < IDLE:
+        del e
+        time.sleep(IDLE / 4)
+    _open.pop(path, None)
+    pa.default_memory_pool().release_unused()
+
+
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, kept for the worker's life."""
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+    """The encoder of a file, kept by the worker from task to task until it is idle."""
+    e = _open.get(path)
+    if e is None:
+        e = _open[path] = Encoder(path)
+        threading.Thread(target=_drop_when_idle, args=(path,), daemon=True).start()
+    e.last = time.monotonic()
+    return e
 
 
 def pieces_of(texts: list[str | None], limit: int = 3_000_000):

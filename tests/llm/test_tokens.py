@@ -1,5 +1,6 @@
 """Operators 1 and 3: exact round trips against the tokenizer itself."""
 
+import time
 import zlib
 
 import numpy as np
@@ -127,3 +128,16 @@ def test_a_file_of_another_kind_is_encoded_whole():
     plain, fast = Tokenizer.from_file(path), tokens.Encoder(path)
     texts = ["Case Matters HERE", "two  spaces\tand\nlines", None, "", "don't a.b x1"]
     assert [x.tolist() for x in fast(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_an_idle_encoder_is_dropped_and_opened_again(monkeypatch):
+    monkeypatch.setattr(tokens, "IDLE", 0.2)
+    tokens._open.clear()
+    path = tokens.word_vocabulary()
+    e = tokens.encoder(path)
+    assert tokens.encoder(path) is e
+    first = [x.tolist() for x in e(["some words", None])]
+    time.sleep(1)
+    assert not tokens._open
+    assert [x.tolist() for x in e(["some words", None])] == first  # a task that holds it goes on
+    assert [x.tolist() for x in tokens.encoder(path)(["some words", None])] == first
