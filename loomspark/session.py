@@ -24,8 +24,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+#: Bytes of an Arrow batch, where the session says nothing: 10,000 long texts at once would cost executors and workers far more than they need.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package; on a cluster it is shipped with the job."""
+    """Let Python workers on this machine import the package (on a cluster it is shipped with the job), and bound their batches by bytes."""
+    if not spark._jsparkSession.conf().contains(_BATCH[0]):
+        spark.conf.set(*_BATCH)
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
