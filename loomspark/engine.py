@@ -18,19 +18,30 @@ from .functions import scoring as S
 from .operators import audit, chunking, decisions, evaluation, fusion, graph, search, tree
 from .session import materialise
 from .sources import files
+from .tracing import Tracer, traced
 
 TABLES = ["chunks", "nodes", "edges", "communities", "summaries", "tree", "postings", "lengths", "embeddings"]
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, *, summary=None, embedder=None, scorer=None, web=None, extractor=None, judge=None, reflector=None, verifier=None, splitter=None, query_entities=None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, *, summary=None, embedder=None, scorer=None, web=None, extractor=None, judge=None, reflector=None, verifier=None, splitter=None, query_entities=None, names=None, tracer=None):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings or Settings.from_environment()
         self.summary, self.embedder, self.scorer = summary or P.ExtractiveSummary(), embedder or P.HashedEmbedder(self.settings.embedding_dim), scorer or P.WordOverlap()
         self.web, self.extractor = web or P.NoWeb(), extractor or P.CapitalisedExtractor()
         self.judge, self.reflector, self.verifier = judge or P.OverlapJudge(), reflector or P.OverlapReflector(), verifier or P.OverlapVerifier()
         self.splitter, self.query_entities = splitter or P.Splitter(), query_entities or P.CapitalisedQueryEntities()
+        self.names, self.tracer = names, tracer or Tracer()
         self.tables: dict[str, DataFrame] = {}
 
+    def _screened(self, rows: DataFrame, key: str, column: str) -> DataFrame:
+        """rows with a column free of personal data: by patterns, and by the model for names where one is given."""
+        text = F.col(column)
+        if self.names is None:
+            return rows.withColumn(column, pii.redacted(text, pii.kept(pii.detections(text))))
+        found = self.names.entities(rows.select(F.col(key).alias("id"), text.alias("text"))).select(F.col("id").alias(key), F.col("found").alias("__found"))
+        return rows.join(found, key, "left").withColumn(column, pii.redacted(text, pii.swept(text, pii.detections(text), F.col("__found")))).drop("__found")
+
+    @traced
     def ingest(self, source: str | DataFrame, glob: str = "*") -> dict:
         """Build all stores from a file, a folder or a DataFrame (source, text); returns counts."""
         began, s = time.time(), self.settings
@@ -96,13 +107,15 @@ class Engine:
             vec = search.merged(vec, search.dense_topk(t["embeddings"], h, s.dense_top_k), s.dense_top_k)
         return vec
 
+    @traced
     def query(self, queries: DataFrame, users: DataFrame | None = None, acls: DataFrame | None = None, now: str = "1970-01-01T00:00:00") -> DataFrame:
         """Responses for questions (query_id, text, user_id, role): blocked, strategy, answer, sources, confidence, warnings, trace_id; audit rows are appended."""
         s = self.settings
         g = guard.check(F.col("text"), limit=s.max_query_length)
         q = queries.withColumn("trace_id", audit.trace_id(F.col("query_id").cast("string"), F.col("text"), F.lit(now))).withColumn("timestamp", F.lit(now)).withColumn("guard", g)
         clean = F.col("guard.sanitized_query")
-        q = materialise(q.withColumn("question", pii.redacted(clean, pii.kept(pii.detections(clean)))).withColumn("plan", routing.route(F.col("question"), s.hyde_enabled)), "questions")
+        q = self._screened(q.withColumn("question", clean), "query_id", "question")
+        q = materialise(q.withColumn("plan", routing.route(F.col("question"), s.hyde_enabled)), "questions")
         open_ = q.where("guard.is_safe")
         hard = open_.where("plan.strategy <> 'simple'")
         results = fusion.fuse(self.channels(hard.select("query_id", F.col("question").alias("text"))), settings=s).withColumn("source", F.col("doc_id"))
@@ -134,10 +147,10 @@ class Engine:
         crag = S.crag_action(F.col("n_sources"), F.col("quality"))
         quality = F.coalesce("quality", F.lit(""))
         mean = F.col("r.average")
-        text = F.coalesce("answer", F.lit(""))
+        out = self._screened(out.withColumn("answer", F.coalesce("answer", F.lit(""))), "query_id", "answer")
         out = out.select(
             "query_id", "trace_id", "timestamp", "user_id", (~F.col("guard.is_safe")).alias("blocked"), F.col("question").alias("query"), F.col("plan.strategy").alias("strategy"), F.col("plan.query_type").alias("query_type"),
-            F.when(F.col("guard.is_safe"), pii.redacted(text, pii.kept(pii.detections(text)))).otherwise(F.col("guard.blocked_reason")).alias("answer"), "sources", "n_sources", crag["quality"].alias("crag_quality"), crag["action"].alias("crag_action"),
+            F.when(F.col("guard.is_safe"), F.col("answer")).otherwise(F.col("guard.blocked_reason")).alias("answer"), "sources", "n_sources", crag["quality"].alias("crag_quality"), crag["action"].alias("crag_action"),
             F.when(F.col("guard.is_safe"), S.confidence(quality, mean, F.col("n_sources"))).otherwise(0.0).alias("confidence"),
             S.warnings(quality, F.col("r.support"), F.col("n_sources")).alias("warnings"), F.coalesce("iterations", F.lit(0)).alias("iterations"), "draft", F.lit(P.PROVIDER).alias("provider"), F.col("guard.risk_score").alias("risk_score"), "channels", "sub_questions",
         )
@@ -151,12 +164,14 @@ class Engine:
         files.append_audit(audit.response_events(out.withColumn("latency_ms", F.lit(0.0))), log)
         return out
 
+    @traced
     def evaluate(self, gold: DataFrame, k: int = 10, only: list[str] | None = None, hyde: bool = True) -> DataFrame:
         """Ranking metrics per gold query (query_id, text, gold_source_ids), over all channels or some, with or without hypothetical answers (ablation)."""
         asked = gold.select("query_id", "text")
         found = fusion.fuse(self.channels(asked, only, hyde), k, self.settings).select("query_id", "doc_id", "rank")
         return evaluation.ranking_metrics(asked, found, gold.select("query_id", F.explode("gold_source_ids").alias("doc_id")), k)
 
+    @traced
     def ablation(self, gold: DataFrame, k: int = 10) -> DataFrame:
         """One row of mean metrics for each configuration; those that differ only after retrieval have equal rows here."""
         names, rows, runs = ["precision_at_k", "recall_at_k", "mrr", "ndcg_at_k", "hit_rate"], None, {}

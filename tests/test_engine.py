@@ -1,11 +1,14 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.engine import Engine
+from loomspark.functions import pii
 from loomspark.operators.components import connected_components
 from loomspark.operators.joins import meet
 from loomspark.sources import files
+from loomspark.tracing import Tracer
 
 
 def test_scan_query_and_explain(spark, tmp_path):
@@ -97,3 +100,36 @@ def test_evaluation_ablation_and_command_line(spark, tmp_path, capsys):
     (tmp_path / "gold.json").write_text(json.dumps([{"query": "glacier", "gold_source_ids": ["nowhere"]}]))
     assert main(["--store", store, "evaluate", str(tmp_path / "gold.json"), "--baseline", base]) == 1
     assert main(["--store", store, "health"]) == 0
+
+
+def test_ablation_and_failures_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "mrr", 0.123456, 3, 10.0), ("a", "hit_rate", 1.0, 3, 10.0), ("b", "mrr", 0.5, 3, 7.25)], "config string, metric string, value double, num_queries long, latency_ms double")
+    files.save_ablation(rows, str(tmp_path / "a"))
+    assert {r.config: (r.metrics, r.num_queries, r.avg_latency_ms) for r in files.read_ablation(spark, str(tmp_path / "a")).collect()} == {"a": ({"mrr": 0.1235, "hit_rate": 1.0}, 3, 10.0), "b": ({"mrr": 0.5}, 3, 7.3)}
+    failed = spark.createDataFrame([("q", "hallucination", "x", "y", 0.1, "why")], "query string, failure_type string, expected string, actual string, confidence double, analysis string")
+    files.save_failures(failed, str(tmp_path / "f"))
+    assert [tuple(r) for r in files.read_failures(spark, str(tmp_path / "f")).collect()] == [("q", "hallucination", "x", "y", 0.1, "why")]
+
+
+def test_spans_of_steps(spark):
+    tracer = Tracer()
+    with pytest.raises(ValueError), tracer.span("outer", n=3):
+        with tracer.span("inner"):
+            pass
+        raise ValueError("no")
+    assert [(r.name, r.status, r.attributes) for r in tracer.summary(spark).collect()] == [("inner", "ok", {}), ("outer", "error: no", {"n": "3"})]
+    tracer.reset()
+    assert tracer.summary(spark).count() == 0
+    off = Tracer(on=False)
+    with off.span("x"):
+        pass
+    assert off.spans == []
+
+
+def test_names_of_a_model_beside_patterns(spark):
+    kind = "text string, found array<struct<start:int,type:string,end:int,confidence:double>>"
+    rows = [("mail a@b.com or Jane Doe", [(16, "PERSON", 24, 0.9)]), ("mail a@b.com now", [(5, "PERSON", 6, 0.5)]), ("mail a@b.com now", [(5, "PERSON", 12, 0.99)]), ("Jane", [(-1, "PERSON", 2, 0.9), (2, "PERSON", 9, 0.9)]), ("", None), (None, None)]
+    df = spark.createDataFrame(rows, kind)
+    t = F.col("text")
+    got = [r[0] for r in df.select(pii.redacted(t, pii.swept(t, pii.detections(t), F.col("found")))).collect()]
+    assert got == ["mail [EMAIL_REDACTED] or [PERSON_REDACTED]", "mail [EMAIL_REDACTED] now", "mail [PERSON_REDACTED] now", "Jane", "", None]
