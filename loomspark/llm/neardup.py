@@ -16,6 +16,8 @@ verified on full sets and followed by components, so that a later pass asks only
    threshold, so the first shingles are finer buckets, whose members meet the smallest node of each;
 4. what is then still apart within those finer buckets, as far as position, size and sketch allow a link.
 So no pair that shares a bucket is left undecided: it is verified, refuted, or joined through others. Passes without a pair cost nothing.
+Up to `at_once` pairs or links are broadcast or joined into components on the driver, for a round of shuffles costs more than they do;
+more of them take the same steps through shuffles, with the same result.
 
 Defined results: null, empty or wordless text has an empty set, is linked with nothing and kept; rows that share a doc_id are
 judged apart, each by its own text; a null doc_id has a null component and is kept; an empty table gives an empty result; further columns are ignored.
@@ -170,6 +172,24 @@ def _first_shingles(counts: np.ndarray, percent: int):
     return run
 
 
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links between a and b, and the smallest node that each can reach."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low = list(range(len(nodes)))
+
+    def root(i: int) -> int:
+        while low[i] != i:
+            low[i] = i = low[low[i]]
+        return i
+
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        x, y = root(x), root(y)
+        low[max(x, y)] = min(x, y)
+    for i, x in enumerate(low):  # x is at most i
+        low[i] = low[x]
+    return nodes, nodes[np.array(low, np.int64)]
+
+
 def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The first shingles of members (node, ...): a link shares at least percent of either set, so it shares one of these.
 
@@ -184,7 +204,7 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, bands: int | None = None, rows: int = ROWS, hubs: int = 4, few: int = 16) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, bands: int | None = None, rows: int = ROWS, hubs: int = 4, few: int = 16, at_once: int = 100_000) -> DataFrame:
     """For every row of documents (doc_id, text): doc_id, n_shingles, component_id, kept, text_key (a hash of the text), part.
 
     part tells components apart also where doc_ids repeat; it is null without a set or an id."""
@@ -212,40 +232,63 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, b
     sets = docs.join(small(wanted, 200_000), ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets(k), "node long, items array<long>")
     sets = materialise(sets, "sets")
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = sets.join(small(nodes, 50_000), "node", "left_semi")
-        left = some.select(F.col("node").alias("a"), F.col("items").alias("x"))
-        right = some.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    def verified(pairs: DataFrame, n: int, label: str) -> DataFrame:
+        if n <= at_once:
+            right = sets.join(F.broadcast(pairs), F.col("node") == F.col("b")).select("a", "b", F.col("items").alias("y"))
+            left = sets.join(F.broadcast(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
+            both = right.join(small(left.select(F.col("node").alias("a"), F.col("items").alias("x")), 50_000, 16), "a")
+        else:
+            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            some = sets.join(small(nodes, 50_000), "node", "left_semi")
+            left = some.select(F.col("node").alias("a"), F.col("items").alias("x"))
+            right = some.select(F.col("node").alias("b"), F.col("items").alias("y"))
+            both = pairs.join(right, "b").join(left, "a")
         common = F.size(F.array_intersect("x", "y"))
-        seen = pairs.join(right, "b").join(left, "a").where(100 * common >= percent * (F.size("x") + F.size("y") - common))
+        seen = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common))
         return materialise(seen.select("a", "b"), f"links-{label}")
 
     nothing = kin.where("false").select("node", F.col("node").alias("component"))
+    known_rows: float = 0  # of the components so far, infinite if they were too many for the driver
+
+    def light(parts: DataFrame) -> DataFrame:
+        """Components, or as many rows, marked for broadcast where they are few."""
+        return F.broadcast(parts) if known_rows <= 2 * at_once else parts
 
     def joined(parts: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
         """The components with the links among pairs. Those so far stand for the links so far: each node with its smallest one."""
+        nonlocal known_rows
         pairs = materialise(pairs.select("a", "b"), f"pairs-{label}")
-        if not pairs.count():
+        n = pairs.count()
+        if not n:
             return parts
-        links = verified(pairs, label)
-        if not links.count():
+        links = verified(pairs, n, label)
+        n = links.count()
+        if not n:
             return parts
         known = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = connected_components(known.unionByName(links))
-        out = materialise(found, f"parts-{label}")
-        release(found, links, pairs)
+        edges = known.unionByName(links)
+        if n + known_rows <= at_once:
+            here = edges.toArrow()
+            nodes, low = united(*(here.column(c).to_numpy() for c in ("a", "b")))
+            known_rows = len(nodes)
+            out = materialise(docs.sparkSession.createDataFrame(pa.table({"node": nodes, "component": low})), f"parts-{label}")
+        else:
+            known_rows = math.inf
+            found = connected_components(edges)
+            out = materialise(found, f"parts-{label}")
+            release(found)
+        release(links, pairs)
         return out
 
     def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """The pairs whose two nodes are in different components."""
-        of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+        of = lambda c: light(parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")))
         both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return both.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b").distinct()
 
     def placed(parts: DataFrame, label: str) -> DataFrame:
         """Members of large buckets of more than one component, with their component and whether it is another than the bucket's main one; left: how many are outside."""
-        all_ = large.join(parts, "node", "left").select("band", "n", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
+        all_ = large.join(light(parts), "node", "left").select("band", "n", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
         sums = all_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
         main = sums.groupBy("band").agg(F.max(F.struct("m", "component")).alias("top")).select("band", "top.*").withColumnRenamed("component", "main")
         return materialise(all_.join(main, "band").where("m < n").select("band", "node", "size", "sketch", "component", (F.col("component") != F.col("main")).alias("outside"), (F.col("n") - F.col("m")).alias("left")), label)
@@ -276,15 +319,15 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, b
             centre = prefix.join(hub, "band").where("node = hub").select("band", "node", "size", "sketch", "component", "outside")
             listed = listed.unionByName(met(prefix, centre, F.col("x.outside") | F.col("y.outside"))).distinct()
             parts = joined(parts, listed, "third")
-            prefix = prefix.drop("component").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            prefix = prefix.drop("component").join(light(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
             common = 1 + F.least(F.col("x.size") - F.col("x.at") - 1, F.col("y.size") - F.col("y.at") - 1)
             reach = (100 + percent) * common >= percent * (F.col("x.size") + F.col("y.size"))
             listed = met(prefix.where("outside"), prefix, reach)
         parts = joined(parts, listed, "last")
 
-    least = reps.select("node", "doc_id").join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("low"))
-    lows = parts.join(least, "component").select("node", "component", "low")
-    named = reps.select(*same, "node", "doc_id").join(lows, "node", "left").select(*same, F.coalesce("component", "node").alias("part"), F.coalesce("low", "doc_id").alias("low"))
+    least = reps.select("node", "doc_id").join(light(parts), "node").groupBy("component").agg(F.min("doc_id").alias("low"))
+    lows = parts.join(light(least), "component").select("node", "component", "low")
+    named = reps.select(*same, "node", "doc_id").join(light(lows), "node", "left").select(*same, F.coalesce("component", "node").alias("part"), F.coalesce("low", "doc_id").alias("low"))
     release(members, close, wanted, sets, open_, rest)
     out = summary.select("doc_id", "text_key", "n_shingles", "h1", "h2").join(named, same, "left")
     # Without a set or an id: a component of its own.

@@ -73,3 +73,22 @@ def test_a_large_group_of_near_copies_with_words_of_their_own(spark):
 
 def test_no_documents(no_documents):
     assert neardup.near_duplicates(no_documents).count() == 0
+
+
+def test_links_are_united_without_rounds_of_shuffles(spark, edge_rows, monkeypatch):
+    def rounds(edges):
+        raise AssertionError("few links went through rounds of shuffles")
+
+    rows = corpus(5, edge_rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(neardup, "connected_components", rounds)
+    got = sorted((tuple(r) for r in neardup.near_duplicates(df, k=3, similarity=0.85, few=2).select(COLUMNS).collect()), key=str)
+    assert got == brute(rows, 3, 85)
+
+
+@pytest.mark.parametrize("at_once", [0, 30])
+def test_more_links_than_are_united_at_once(spark, edge_rows, at_once):
+    rows = corpus(6, edge_rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in neardup.near_duplicates(df, k=3, similarity=0.85, few=2, at_once=at_once).select(COLUMNS).collect()), key=str)
+    assert got == brute(rows, 3, 85)
