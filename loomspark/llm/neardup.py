@@ -236,7 +236,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8, b
         if n <= at_once:
             right = sets.join(F.broadcast(pairs), F.col("node") == F.col("b")).select("a", "b", F.col("items").alias("y"))
             left = sets.join(F.broadcast(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
-            both = right.join(small(left.select(F.col("node").alias("a"), F.col("items").alias("x")), 50_000, 16), "a")
+            both = right.join(left.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
         else:
             nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             some = sets.join(small(nodes, 50_000), "node", "left_semi")
