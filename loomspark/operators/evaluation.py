@@ -19,6 +19,31 @@ def ranking_metrics(queries: DataFrame, retrieved: DataFrame, relevant: DataFram
     rel = relevant.select("query_id", "doc_id").distinct()
     sizes = rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
     rows = retrieved.select("query_id", "doc_id", "rank").join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    return _metrics(queries, rows, sizes, k)
+
+
+def labelled_metrics(queries: DataFrame, retrieved: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """ranking_metrics where the items (doc_id, label) of a label that a query (query_id, label) has are relevant to it, other than itself.
+
+    They are counted by label and no pair of a query and a relevant item is made, but for items that stand under several labels.
+    """
+    own = queries.groupBy("query_id").agg(F.collect_set("label").alias("q_labels"))
+    kinds = items.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("label").alias("labels"))
+    hit = F.when(F.arrays_overlap("labels", "q_labels") & (F.col("doc_id") != F.col("query_id")), 1)
+    rows = retrieved.select("query_id", "doc_id", "rank").join(own, "query_id", "left").join(kinds, "doc_id", "left").select("query_id", "doc_id", "rank", hit.alias("hit"))
+    asked = own.select("query_id", F.explode("q_labels").alias("label"))
+    one = kinds.where(F.size("labels") == 1).select("doc_id", F.col("labels")[0].alias("label"))
+    itself = one.select(F.col("doc_id").alias("query_id"), "label", F.lit(1).alias("itself"))
+    by_label = one.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    single = asked.join(by_label, "label").join(itself, ["query_id", "label"], "left").select("query_id", (F.col("n") - F.coalesce("itself", F.lit(0))).alias("n"))
+    several = kinds.where(F.size("labels") > 1).select("doc_id", F.explode("labels").alias("label")).join(asked, "label").where("doc_id <> query_id")
+    several = several.select("query_id", "doc_id").distinct().select("query_id", F.lit(1).cast("long").alias("n"))
+    sizes = single.unionByName(several).groupBy("query_id").agg(F.nullif(F.sum("n"), F.lit(0)).alias("n_rel"))
+    return _metrics(queries, rows, sizes, k)
+
+
+def _metrics(queries: DataFrame, rows: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """The metrics from retrieved rows (query_id, doc_id, rank, hit: null if not relevant) and numbers of relevant documents (query_id, n_rel)."""
     inside, hit = F.col("rank") <= k, F.col("hit").isNotNull()
     per = rows.groupBy("query_id").agg(
         F.sum(F.when(inside, 1).otherwise(0)).alias("n_top"), F.sum(F.when(inside & hit, 1).otherwise(0)).alias("n_hit"), F.count_distinct(F.when(inside & hit, F.col("doc_id"))).alias("n_found"),

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -41,3 +42,15 @@ def test_gate(spark):
     compared = E.regression_gate(means(("a", 0.5), ("b", 0.5), ("c", 0.2)), means(("a", 0.46), ("b", 0.4)))
     assert {r.metric: r.failed for r in compared.collect()} == {"a": False, "b": True, "c": True}
     assert tuple(E.gate_result(compared, spark.createDataFrame([(10,)], "n long")).first()) == (False, 10, 8, 2)
+
+
+def test_labels_are_counted_without_pairs(spark):
+    """The metrics of labels are those of all pairs, items under several labels, repeated ones and nulls included."""
+    items = [(f"v{i}", i % 3) for i in range(60)] + [("v0", 1), ("v6", 2), ("v6", None), ("two", 0), ("two", 1), ("v9", 0), (None, 0), ("lone", 9), ("blank", None)]
+    items = spark.createDataFrame(items, "doc_id string, label int")
+    queries = items.where("doc_id in ('v0', 'v1', 'v6', 'two', 'lone', 'blank')").select(F.col("doc_id").alias("query_id"), "label").unionByName(spark.createDataFrame([("new", 2)], "query_id string, label int"))
+    found = queries.select("query_id").distinct().crossJoin(items.select("doc_id").where("doc_id is not null").distinct()).where("pmod(xxhash64(query_id, doc_id), 4) = 0 or doc_id = 'lone'")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("doc_id", "query_id"))))
+    relevant = items.join(queries, "label").where("doc_id <> query_id").select("query_id", "doc_id")
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rows(E.labelled_metrics(queries, found, items)) == rows(E.ranking_metrics(queries, found, relevant))
