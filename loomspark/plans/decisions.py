@@ -15,17 +15,22 @@ from .registry import query
 from .retrieval import DENSE, dense, fused, vectors
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense hits, worked out once for all that is done with them."""
+    return materialise(dense(spark, sf_dir).select("query_id", "doc_id"), "hits")
+
+
+def hits(spark: SparkSession, sf_dir: str, near: DataFrame) -> DataFrame:
     """Dense hits with the document of the vector's number as text."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return dense(spark, sf_dir).join(docs, "doc_id", "left").select("query_id", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return looked_up(near, docs, "doc_id").select("query_id", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def irrelevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+def irrelevant(spark: SparkSession, sf_dir: str, near: DataFrame) -> DataFrame:
     """Hits of another label than the query's vector are judged irrelevant."""
     v = vectors(spark, sf_dir).select("doc_id", "label")
     q = v.select(F.col("doc_id").alias("query_id"), F.col("label").alias("own"))
-    return dense(spark, sf_dir).join(v, "doc_id").join(q, "query_id").where("label <> own").select("query_id", "doc_id")
+    return near.join(v, "doc_id").join(q, "query_id").where("label <> own").select("query_id", "doc_id")
 
 
 _HITS = f"""{DENSE}, hits AS (SELECT query_id, dense.doc_id, coalesce(d.text, '') AS text, v.label = q.label AS good FROM dense JOIN v ON v.doc_id = dense.doc_id JOIN v q ON q.doc_id = query_id
@@ -35,7 +40,8 @@ _TRIM = "CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text
 
 @query(f"WITH {_HITS} SELECT query_id, doc_id, {_TRIM} AS text FROM hits WHERE good")
 def crag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.crag_filter(hits(spark, sf_dir), irrelevant(spark, sf_dir))
+    near = found(spark, sf_dir)
+    return D.crag_filter(hits(spark, sf_dir, near), irrelevant(spark, sf_dir, near))
 
 
 @query(f"SELECT doc_id, {_TRIM} AS passage FROM documents")
@@ -58,11 +64,12 @@ SELECT query_id, doc_id, CASE WHEN mode = 'filtered' THEN {_TRIM} ELSE text END
 UNION ALL SELECT query_id, 'web', 'from the web', 'web' FROM mode WHERE mode = 'web'""")
 def context_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the queries is judged INCORRECT with a web hit, two thirds not; some have no relevant hit at all."""
-    h = hits(spark, sf_dir)
+    near = found(spark, sf_dir)
+    h = materialise(hits(spark, sf_dir, near), "texts")
     n = (F.col("query_id").cast("long") / 50).cast("long")
     quality = h.select("query_id").distinct().withColumn("quality", F.when(n % 3 == 1, "INCORRECT").when(n % 3 == 2, "AMBIGUOUS").otherwise("CORRECT"))
     web = quality.where("quality = 'INCORRECT'").select("query_id", F.lit("web").alias("doc_id"), F.lit("from the web").alias("text"))
-    bad = irrelevant(spark, sf_dir).unionByName(h.where(n % 5 == 4).select("query_id", "doc_id"))
+    bad = irrelevant(spark, sf_dir, near).unionByName(h.where(n % 5 == 4).select("query_id", "doc_id"))
     return D.chosen_context(h, bad, quality, web)
 
 
