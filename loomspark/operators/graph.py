@@ -66,21 +66,24 @@ def chunk_entities(nodes: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, starts: DataFrame, hops: int = 2, least: float = 0.5) -> DataFrame:
     """start, node, depth: nodes within hops steps along edges of enough confidence, in either direction; starts (start)."""
     strong = edges.where(F.coalesce("confidence", F.lit(0.5)) >= least)
-    both = strong.select(F.col("source").alias("node"), F.col("target").alias("to")).unionByName(strong.select(F.col("target").alias("node"), F.col("source").alias("to"))).distinct()
+    both = strong.select(F.col("source").alias("node"), F.col("target").alias("to")).unionByName(strong.select(F.col("target").alias("node"), F.col("source").alias("to")))
     found = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     front = found
     for depth in range(1, hops + 1):
-        step = front.join(both, "node").select("start", F.col("to").alias("node")).distinct().join(found.select("start", "node"), ["start", "node"], "left_anti")
+        # Repeated edges go with the repeated nodes after the join, so edges are not moved while the front is small.
+        step = both.join(small(front.select("start", "node")), "node").select("start", F.col("to").alias("node")).distinct().join(found.select("start", "node"), ["start", "node"], "left_anti")
         front = step.withColumn("depth", F.lit(depth))
+        front = materialise(front, "front") if depth < hops else front
         found = found.unionByName(front)
     return found.where("depth > 0")
 
 
 def fuzzy_match(nodes: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """query_id, entity, name, score, rank: equal names 1, one inside the other 0.8, else Jaccard of words above 0.3; first nodes first on ties."""
-    met = meet(queries.select("query_id", "entity", F.lower(T.strip(F.col("entity"))).alias("q")), nodes.select("name", "ord", F.lower("name").alias("n")))
-    qw, nw = F.array_distinct(T.words(F.col("q"))), F.array_distinct(T.words(F.col("n")))
-    jaccard = F.size(F.array_intersect(qw, nw)) / F.size(F.array_union(qw, nw))
+    # Words are parted once a row, not once a pair.
+    parted = lambda df, c, w: df.withColumn(w, F.array_distinct(T.words(F.col(c))))
+    met = meet(parted(queries.select("query_id", "entity", F.lower(T.strip(F.col("entity"))).alias("q")), "q", "qw"), parted(nodes.select("name", "ord", F.lower("name").alias("n")), "n", "nw"))
+    jaccard = F.size(F.array_intersect("qw", "nw")) / F.size(F.array_union("qw", "nw"))
     score = F.when(F.col("n") == F.col("q"), 1.0).when(F.col("n").contains(F.col("q")) | F.col("q").contains(F.col("n")), 0.8).when(jaccard > 0.3, jaccard)
     w = Window.partitionBy("query_id", "entity").orderBy(F.desc("score"), "ord")
     return met.withColumn("score", score).where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "entity", "name", "score", "rank")
@@ -94,8 +97,9 @@ def graph_walk(near: DataFrame, mentions: DataFrame) -> DataFrame:
 def edge_context(nodes: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
     """start, num_edges, text: a description of an entity and of its out- and in-edges, in edge order; none without edges. entities (start)."""
     line = F.format_string("%s --[%s]--> %s: %s (confidence: %.2f)", "source", F.coalesce("relation_type", F.lit("RELATES_TO")), "target", F.coalesce("description", F.lit("")), F.coalesce("confidence", F.lit(0.5)))
-    lines = [edges.select(F.col(end).alias("start"), F.lit(i).alias("side"), "ord", line.alias("line")) for i, end in enumerate(("source", "target"))]
-    own = lines[0].unionByName(lines[1]).join(entities.distinct(), "start").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("side", "ord", "line"))).alias("l"))
+    named = small(entities.distinct())
+    lines = [edges.join(named.withColumnRenamed("start", end), end).select(F.col(end).alias("start"), F.lit(i).alias("side"), "ord", line.alias("line")) for i, end in enumerate(("source", "target"))]
+    own = lines[0].unionByName(lines[1]).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("side", "ord", "line"))).alias("l"))
     head = nodes.select(F.col("name").alias("start"), F.format_string("Entity: %s (%s)\nDescription: %s\nRelationships:\n", "name", F.coalesce("entity_type", F.lit("unknown")), F.coalesce("description", F.lit(""))).alias("head"))
     return own.join(head, "start").select("start", F.size("l").alias("num_edges"), F.concat("head", F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
 
@@ -156,12 +160,21 @@ def graph_channel(entities: DataFrame, nodes: DataFrame, edges: DataFrame, summa
     """
     matched = materialise(fuzzy_match(nodes, entities), "matched").select("query_id", F.col("name").alias("start")).distinct()
     starts = matched.select("start").distinct()
-    walk = graph_walk(neighbours(edges, starts, settings.graph_max_hops, settings.graph_min_confidence), chunk_entities(nodes)).groupBy("start", "chunk_id").agg(F.max("score").alias("score"))
-    walk = walk.join(chunks.select("chunk_id", "text"), "chunk_id").select("start", F.col("chunk_id").alias("doc_id"), "score", "text", F.lit("graph_walk").alias("source_type"))
-    told = summaries.where("summary <> ''").select(F.col("name").alias("start"), F.concat(F.lit("community_"), F.col("community")).alias("doc_id"), F.lit(0.85).alias("score"), F.col("summary").alias("text"), F.lit("community_summary").alias("source_type"))
-    context = edge_context(nodes, edges, starts).select("start", F.concat(F.lit("entity_"), F.col("start")).alias("doc_id"), F.lit(0.75).alias("score"), "text", F.lit("entity_context").alias("source_type"))
-    hits = small(matched).join(walk.unionByName(told).unionByName(context), "start")
-    key = F.when(F.col("source_type") == "graph_walk", F.col("doc_id")).otherwise(F.substring("text", 1, 100))
-    best = hits.groupBy("query_id", key.alias("key")).agg(F.max_by(F.struct("doc_id", "score", "text", "source_type"), F.struct("score", "doc_id")).alias("h")).select("query_id", "h.*")
+    # Texts of chunks follow the cut: until then a hit is its ids and its score.
+    mentions = chunk_entities(nodes).join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    near = neighbours(edges, starts, settings.graph_max_hops, settings.graph_min_confidence)
+    cols = ["start", "doc_id", "source_type", "key", "score"]
+    walk = graph_walk(near, mentions).select("start", F.col("chunk_id").alias("doc_id"), F.lit("graph_walk").alias("source_type"), F.col("chunk_id").alias("key"), "score")
+    named = small(starts)
+    told = summaries.where("summary <> ''").withColumnRenamed("name", "start").join(named, "start").select("start", F.concat(F.lit("community_"), F.col("community")).alias("doc_id"), F.lit("community_summary").alias("source_type"), F.lit(0.85).alias("score"), F.col("summary").alias("text"))
+    context = edge_context(nodes, edges, starts).select("start", F.concat(F.lit("entity_"), F.col("start")).alias("doc_id"), F.lit("entity_context").alias("source_type"), F.lit(0.75).alias("score"), "text")
+    written = materialise(told.unionByName(context).withColumn("key", F.substring("text", 1, 100)), "written")
+    hits = walk.unionByName(written.select(cols)).join(small(matched), "start")
+    best = hits.groupBy("query_id", "key").agg(F.max_by(F.struct(*cols[:3], "score"), F.struct("score", "doc_id")).alias("h")).select("query_id", "key", "h.*")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (k or settings.graph_top_k))
+    top = materialise(best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (k or settings.graph_top_k)), "ranked")
+    walked = F.col("source_type") == "graph_walk"
+    asked = small(top.where(walked).select(F.col("doc_id").alias("chunk_id")).distinct(), 100_000)
+    texts = chunks.select("chunk_id", "text").join(asked, "chunk_id", "left_semi").groupBy(F.col("chunk_id").alias("doc_id")).agg(F.max("text").alias("text"))
+    own = top.where(~walked).join(written.groupBy(cols[:4]).agg(F.max("text").alias("text")), cols[:4])
+    return top.where(walked).join(texts, "doc_id").unionByName(own, allowMissingColumns=True).select("query_id", "doc_id", "score", "rank", "text", "source_type")

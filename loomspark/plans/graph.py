@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
-from ..session import table
+from ..session import materialise, table
 from .registry import query
 
 
@@ -234,7 +234,7 @@ def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = nodes(spark, sf_dir)
     told = r.select(F.col("r_name").alias("name"), F.col("r_name").alias("community"), F.concat(F.lit("All about "), "r_name").alias("summary"))
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    return G.graph_channel(asked, named, edges(spark, sf_dir), told, chunks).select("query_id", "doc_id", "score", "source_type", "rank")
+    return G.graph_channel(asked, named, materialise(edges(spark, sf_dir), "edges"), told, chunks).select("query_id", "doc_id", "score", "source_type", "rank")
 
 
 @query(f"""WITH {GRAPH}, members AS (SELECT r_name AS name, r_name AS community FROM region UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
