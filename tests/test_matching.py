@@ -42,3 +42,17 @@ def test_repeated_documents_and_none(spark):
     assert {r.query_id for r in search.bm25_topk(docs, queries, 3).collect()} == {"1", "2", "3", "7"}
     assert search.bm25_topk(docs.limit(0), queries, 3).count() == 0
     assert search.bm25_topk(docs, queries.where("query_id = '5'"), 3).count() == 0
+
+
+def test_postings_and_hits_of_stored_ones(spark):
+    """Postings are the same row by row and joined; stored ones find what texts do."""
+    docs, queries = tables(spark)
+    docs = docs.where("doc_id is not null")
+    posted = search.postings(docs)
+    again = docs.select("doc_id", F.explode(T.words(F.lower("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    assert posted.schema.simpleString() == again.schema.simpleString()
+    assert sorted(map(tuple, posted.collect())) == sorted(map(tuple, again.collect()))
+    assert "Generate explode" not in posted._jdf.queryExecution().optimizedPlan().toString()
+    twice = search.postings(docs.unionByName(docs))
+    assert sorted(map(tuple, twice.collect())) == sorted((r.doc_id, r.term, 2 * r.tf) for r in again.collect())
+    assert rows(search.bm25_topk(docs, queries, 4, posted)) == rows(search.bm25_topk(docs, queries, 4))
